@@ -47,17 +47,20 @@ def html_to_text(html: Column) -> Column:
     """
     marked = F.regexp_replace(html, _SILENT_ELEMENTS, "\u0001")
     marked = F.regexp_replace(marked, _COMMENTS_AND_TAGS, "\u0001")
+
+    def node_text(node: Column) -> Column:
+        text = node
+        for reference, character in NAMED_REFERENCES.items():
+            text = F.replace(text, F.lit(reference), F.lit(character))
+        return (
+            F.when(F.contains(node, F.lit("&")), text)
+            .when(F.btrim(node, F.lit(" \n\t\f\r")) != "", node)
+            .when(F.contains(node, F.lit("\n")), F.lit("\n"))
+            .otherwise(F.lit(" "))
+        )
+
     nodes = F.filter(F.split(marked, "\u0001+"), lambda node: node != "")
-    nodes = F.transform(
-        nodes,
-        lambda node: F.when(F.btrim(node, F.lit(" \n\t\f\r")) != "", node)
-        .when(F.contains(node, F.lit("\n")), F.lit("\n"))
-        .otherwise(F.lit(" ")),
-    )
-    text = F.array_join(nodes, " ")
-    for reference, character in NAMED_REFERENCES.items():
-        text = F.replace(text, F.lit(reference), F.lit(character))
-    return text
+    return F.array_join(F.transform(nodes, node_text), " ")
 
 
 def select_body(parts: Column) -> Column:

@@ -42,7 +42,7 @@ def extract_urls(parts: Column) -> Column:
         ).otherwise(F.array().cast("array<string>"))
         return F.concat(in_tags, in_text)
 
-    return F.array_sort(F.array_distinct(F.flatten(F.transform(parts, of_part))))
+    return F.sort_array(F.array_distinct(F.flatten(F.transform(parts, of_part))))
 
 
 def _decode(text: Column) -> Column:

@@ -59,7 +59,7 @@ def exploded_counts(texts: DataFrame, doc_id: str, text: str) -> DataFrame:
     return (
         texts.select(doc_id, tokens(F.col(text)).alias("words"))
         .filter(F.size("words") > 0)
-        .select(doc_id, F.array_sort(with_bigrams(F.col("words"))).alias("terms"))
+        .select(doc_id, F.sort_array(with_bigrams(F.col("words"))).alias("terms"))
         .select(doc_id, "terms", run_starts(F.col("terms")).alias("starts"))
         .select(doc_id, F.explode(counted).alias("t"))
         .select(doc_id, "t.term", "t.tf")
@@ -108,7 +108,7 @@ def tfidf(
 def _libsvm_rows(weights: DataFrame, texts: DataFrame) -> DataFrame:
     """Training rows as text: ``label index:value …`` with ascending indices."""
     features = weights.groupBy("doc_id").agg(
-        F.array_sort(F.collect_list(F.struct("term_id", "weight"))).alias("f")
+        F.sort_array(F.collect_list(F.struct("term_id", "weight"))).alias("f")
     )
     pairs = F.transform(
         "f", lambda x: F.concat(x["term_id"].cast("string"), F.lit(":"), x["weight"].cast("string"))

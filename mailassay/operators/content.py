@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from mailassay import lexicon as lx
 
+# what a body must contain for each of the urgency patterns to match
+_NEEDED_WORDS = ("saat", "son", "expire")
+
 
 def keyword_hits(body: Column) -> Column:
     """Phrases contained in the body, in list order, each once.
@@ -20,10 +23,15 @@ def keyword_hits(body: Column) -> Column:
 
 
 def urgency_hits(body: Column) -> Column:
-    """How many of the urgency patterns occur at all."""
+    """How many of the urgency patterns occur at all.
+
+    Most bodies lack the word a pattern needs; a plain search rules them out
+    before the much slower expression runs.
+    """
     hits = F.lit(0)
-    for pattern in lx.URGENCY_PATTERNS:
-        hits = hits + body.rlike("(?U)" + pattern).cast("int")
+    for word, pattern in zip(_NEEDED_WORDS, lx.URGENCY_PATTERNS, strict=True):
+        occurs = F.contains(body, F.lit(word)) & body.rlike("(?U)" + pattern)
+        hits = hits + occurs.cast("int")
     return hits
 
 

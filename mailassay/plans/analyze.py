@@ -99,7 +99,7 @@ def _rate_urls(scored: DataFrame, snapshots: Snapshots, params: ScanParams, as_o
         .agg(
             F.first("m").alias("m"),
             F.max(F.when(has_url, F.col("url_risk"))).alias("highest"),
-            F.array_sort(F.collect_list(F.when(has_url, links.analysed_url()))).alias(
+            F.sort_array(F.collect_list(F.when(has_url, links.analysed_url()))).alias(
                 "analyzed_urls"
             ),
         )

@@ -26,7 +26,7 @@ def ngrams(spark, sf):
     return counts.groupBy("doc_id").agg(
         F.sum("tf").alias("n_terms"),
         F.count(F.lit(1)).alias("n_distinct"),
-        F.md5(F.array_join(F.array_sort(F.collect_list(pair)), "|")).alias("counts_md5"),
+        F.md5(F.array_join(F.sort_array(F.collect_list(pair)), "|")).alias("counts_md5"),
     )
 
 

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from mailassay.functions.urls import reputation_key
 from mailassay.plans.analyze import Snapshots
+from mailassay.session import spread
 
 AS_OF = "TIMESTAMP '2024-02-01 00:00:00'"
 
@@ -213,7 +214,9 @@ TABLES = ("documents", "pages", "events", "conversations", "labels")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A given table; the text tables are spread over the cores if they come as one task."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(df) if name in ("documents", "pages") else df
 
 
 def run(spark: SparkSession, sf_dir: str, template: str, **extra: DataFrame) -> DataFrame:

@@ -19,7 +19,7 @@ def _input(spark, sf):
 
 
 def mask_text(spark, sf):
-    return _input(spark, sf).select("doc_id", masking.mask(F.col("text")).alias("masked"))
+    return masking.with_masked(_input(spark, sf), "text").select("doc_id", "masked")
 
 
 def mask_stats(spark, sf):
