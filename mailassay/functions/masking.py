@@ -18,17 +18,26 @@ _ADDRESS_START = r"(?:\G|(?<![a-zA-Z0-9._%+\-]))"
 _NEEDED_TEXT = {"URL": "://", "EMAIL": "@", "IPV6": ":"}
 
 
+def _java_pattern(name: str, pattern: str, any_case: bool) -> str:
+    """The rule as Java reads it, with Unicode classes.
+
+    Only ranges of small letters take in the dotted capital I and the Kelvin
+    sign when case is ignored, so ranges of capitals are completed. Control
+    characters 0x1C to 0x1F are no white space here, and a combining mark
+    belongs to the word before it.
+    """
+    if any_case:
+        pattern = "(?iUu)" + pattern.replace("[A-Z]", "[A-Za-z]")
+    else:
+        pattern = "(?U)" + pattern
+    return pattern.replace("(?iUu)", "(?iUu)" + _ADDRESS_START) if name == "EMAIL" else pattern
+
+
 def _active(rules: Iterable[str] | None) -> list[tuple[str, str, str]]:
     """(name, Java pattern, replacement) of the chosen rules, in their fixed order."""
     wanted = None if rules is None else set(rules)
     return [
-        (
-            name,
-            ("(?iUu)" if any_case else "(?U)")
-            + (_ADDRESS_START if name == "EMAIL" else "")
-            + pattern,
-            token,
-        )
+        (name, _java_pattern(name, pattern, any_case), token)
         for name, pattern, any_case, token in MASK_RULES
         if wanted is None or name in wanted
     ]
