@@ -26,10 +26,14 @@ NAMED_REFERENCES = {
     "&amp;": "&",
 }
 
-_SILENT_ELEMENTS = r"(?is)<(script|style|template|rt|rp)\b[^>]*>.*?</\1\s*>"
-# the inside of a tag, where quoted values may hold ">"; possessive, so one pass
-TAG_REST = r"""[^>"']*+(?:(?:"[^"]*"|'[^']*')[^>"']*+)*+>"""
-_COMMENTS_AND_TAGS = r"(?s)<!--.*?-->|<[!/?]?[a-zA-Z]" + TAG_REST
+# Every pattern below reads each character a bounded number of times, also in
+# hostile input: what is never closed runs to the end or ends at the next tag.
+_SILENT_ELEMENTS = (
+    r"(?is)<(script|style|template)\b[^<>]*+>.*?(?:</\1\s*+>|\z)|<r[tp]\b[^<>]*+>[^<]*+"
+)
+# the inside of a tag, where quoted values may hold ">"
+TAG_REST = r"""[^<>"']*+(?:(?:"[^"]*+"|'[^']*+')[^<>"']*+)*+>"""
+_COMMENTS_AND_TAGS = r"(?s)<!--.*?(?:-->|\z)|<[!/?]?[a-zA-Z]" + TAG_REST
 
 
 def sender_domain(from_header: Column) -> Column:
@@ -77,6 +81,11 @@ def select_body(parts: Column) -> Column:
     )
 
 
+def strip(text: Column) -> Column:
+    """Without white space at both ends."""
+    return F.btrim(text, F.lit(" \t\n\r\x0b\x0c"))
+
+
 def html_escape(text: Column) -> Column:
     for character, reference in (
         ("&", "&amp;"),

@@ -11,7 +11,10 @@ from mailassay.lexicon import TRACKING_KEYS, URL_PATTERN
 _LINK_TAGS = r"(?is)<(?:a|button|form)(?=[\s/>])" + TAG_REST
 _ATTRIBUTE = r"(?is)\s{name}\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))"
 _SCHEME = r"^([a-zA-Z][a-zA-Z0-9+.\-]*):"
-_BRACKETED_HOST = r"(?i)^(?:[^\[\]]*@)?\[(?:[0-9a-f:.]*:[0-9a-f:.]*:[0-9a-f:.]*(?:%.+)?|v[0-9a-f]+\..+)\](?::[^\[\]]*)?$"
+_BRACKETED_HOST = (
+    r"(?i)^(?:[^\[\]@]*+@)?\[(?:(?=[0-9a-f.]*+:[0-9a-f.]*+:)[0-9a-f:.]++(?:%[^\[\]]++)?|v[0-9a-f]++\.[^\[\]]++)\]"
+    r"(?::[^\[\]]*+)?$"
+)
 
 
 def _attribute(tag: Column, name: str) -> Column:

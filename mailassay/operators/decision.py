@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mailassay import lexicon as lx
-from mailassay.functions.text import clamp, half_even
+from mailassay.functions.text import clamp, half_even, strip
 from mailassay.operators.lookup import measured_bytes
 from mailassay.params import LookupPolicy, ScanParams
 
@@ -91,7 +91,7 @@ def whitelisted_domains(domains: DataFrame, trusted: DataFrame, policy: LookupPo
     suffixes = distinct.select(
         "sender_domain", F.explode(domain_suffixes(F.col("sender_domain"))).alias("suffix")
     )
-    listed = trusted.select(F.lower(F.trim("domain")).alias("suffix")).distinct()
+    listed = trusted.select(strip(F.lower("domain")).alias("suffix")).distinct()
     if measured_bytes(listed) <= policy.broadcast_bytes:
         listed = F.broadcast(listed)
     return suffixes.join(listed, "suffix", "left_semi").select("sender_domain").distinct()

@@ -36,7 +36,9 @@ def lookup(
     if measured_bytes(table) <= policy.broadcast_bytes:
         return left.join(F.broadcast(table), key, "left")
 
+    # both are read twice below
     left = stage_table(left, f"lookup-{key}")
+    table = stage_table(table, f"table-{key}")
     values = [c for c in table.columns if c != key]
     hot = (
         left.groupBy(key)

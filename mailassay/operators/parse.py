@@ -6,6 +6,7 @@ the partitions of the input; there is no shuffle. Everything after it is native.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from email import message_from_bytes
 from email.header import decode_header
@@ -54,6 +55,8 @@ class VisibleText(HTMLParser):
         self.nodes: list[str] = []
         self.links: list[str] = []
         self._open: list[str] = []
+        self._depth: Counter[str] = Counter()
+        self._hidden = 0  # open elements whose text is not shown
         self._run: list[str] = []
 
     def handle_data(self, data: str) -> None:
@@ -61,7 +64,7 @@ class VisibleText(HTMLParser):
 
     def _end_node(self, *_) -> None:
         node, self._run = "".join(self._run), []
-        if node and not _SILENT.intersection(self._open):
+        if node and not self._hidden:
             if not node.strip(" \n\t\f\r"):
                 node = "\n" if "\n" in node else " "
             self.nodes.append(node)
@@ -77,6 +80,8 @@ class VisibleText(HTMLParser):
                 self.links.append(link)
         if tag not in _VOID:
             self._open.append(tag)
+            self._depth[tag] += 1
+            self._hidden += tag in _SILENT
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
         self.handle_starttag(tag, attrs)
@@ -84,9 +89,11 @@ class VisibleText(HTMLParser):
 
     def handle_endtag(self, tag: str) -> None:
         self._end_node()
-        if tag in self._open:
-            while self._open.pop() != tag:
-                pass
+        closed = None
+        while closed != tag and self._depth[tag]:
+            closed = self._open.pop()
+            self._depth[closed] -= 1
+            self._hidden -= closed in _SILENT
 
     def finish(self) -> str:
         self.close()
@@ -129,6 +136,20 @@ def _clean(value):
     return value
 
 
+def closes_its_tags(html: str, budget: int = 30_000_000) -> bool:
+    """Can the standard parser read this text in reasonable time?
+
+    It rescans the rest of the text for every tag or comment that is never
+    closed, which a hostile message can use to block a task. A text that would
+    cost more than ``budget`` characters goes without exact results, and the
+    native expressions, whose cost is linear, take their place.
+    """
+    unclosed = max(
+        html.count("<") - html.count(">"), html.count("<!") - html.count("-->"), html.count("<?")
+    )
+    return len(html) * unclosed <= budget
+
+
 def parse_one(message_id: str, raw: bytes) -> dict:
     message = message_from_bytes(raw)
     parts = []
@@ -139,7 +160,7 @@ def parse_one(message_id: str, raw: bytes) -> dict:
         text = payload.decode("utf-8", errors="ignore")
         kind = _clean(part.get_content_type())
         visible = links = None
-        if kind == "text/html":
+        if kind == "text/html" and closes_its_tags(text):
             reader = VisibleText()
             reader.feed(text)
             visible, links = reader.finish(), reader.links

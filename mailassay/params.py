@@ -41,7 +41,7 @@ class ScanParams:
     nlp_remote_max_chars: int = 200
     nlp_sanitize_before_send: bool = True
     scan_interval_seconds: int = 300
-    scan_max_results: int = 30
+    scan_max_results: int | None = 30
     auto_start_scan: bool = True
     warning_label_id: str = ""
     alert_token: str = ""

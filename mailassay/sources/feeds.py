@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mailassay import lexicon as lx
+from mailassay.functions.text import strip
 from mailassay.schemas import FEED_JSON
 
 
@@ -45,13 +46,13 @@ def find_column(names: list[str], candidates: list[str]) -> str | None:
 
 
 def is_positive_label(label: Column) -> Column:
-    return F.trim(label).isin(lx.FEED_POSITIVE_LABELS)
+    return strip(label).isin(lx.FEED_POSITIVE_LABELS)
 
 
 def filter_online(feed: DataFrame, column: str) -> DataFrame:
     """Rows marked online, or all rows if none is: one scalar subquery decides."""
     online = F.coalesce(
-        F.lower(F.trim(F.col(column))).isin(lx.FEED_ONLINE_VALUES), F.lit(False)
+        F.lower(strip(F.col(column))).isin(lx.FEED_ONLINE_VALUES), F.lit(False)
     )
     any_online = feed.agg(F.coalesce(F.max(online), F.lit(False))).scalar()
     return feed.filter(online | ~any_online)

@@ -33,10 +33,16 @@ def stream_message_files(
     )
 
 
-def unread_page(mailbox: DataFrame, max_results: int = 20) -> DataFrame:
-    """The newest messages labelled both INBOX and UNREAD: a top-k over the filtered scan."""
+def unread_page(mailbox: DataFrame, max_results: int | None = 20) -> DataFrame:
+    """The newest messages labelled both INBOX and UNREAD: a top-k over the filtered scan.
+
+    ``None`` takes all of them, without a sort.
+    """
     wanted = F.array_contains("label_ids", "INBOX") & F.array_contains("label_ids", "UNREAD")
-    return mailbox.filter(wanted).orderBy(F.desc("internal_ts"), "message_id").limit(max_results)
+    unread = mailbox.filter(wanted)
+    if max_results is None:
+        return unread
+    return unread.orderBy(F.desc("internal_ts"), "message_id").limit(max_results)
 
 
 def unscanned(page: DataFrame, ledger: DataFrame) -> DataFrame:

@@ -1,4 +1,5 @@
 import hashlib
+import time
 from email.header import Header
 from email.message import EmailMessage
 from email.mime.multipart import MIMEMultipart
@@ -6,7 +7,7 @@ from email.mime.text import MIMEText
 
 from pyspark.sql import functions as F
 
-from mailassay.functions.text import select_body, sender_domain
+from mailassay.functions.text import html_to_text, select_body, sender_domain
 from mailassay.functions.urls import extract_urls
 from mailassay.operators.parse import display_text, header_text, parse_failures, parse_messages, parsed_only
 from mailassay.sources.mailbox import read_message_files
@@ -104,3 +105,20 @@ def test_message_files(spark, tmp_path):
     files = read_message_files(spark, str(tmp_path))
     sums = {r["message_id"].split("/")[-1]: hashlib.md5(bytes(r["raw"])).hexdigest() for r in files.collect()}
     assert sums == {f"{k.replace(' ', '_')}.eml": hashlib.md5(v).hexdigest() for k, v in RAW.items()}
+
+
+HOSTILE = ["<p " * 60_000, "<!--" * 60_000, "<!-- >" * 60_000, "<script>" * 40_000, '<a href="' * 40_000, "<rt>" * 60_000,
+           "<b>x" * 60_000 + "</i>" * 60_000, "<a " + 'x="1" ' * 60_000 + "href='http://a.example'>t</a>"]
+
+
+def test_hostile_html_costs_little(spark):
+    raw = [(str(i), bytearray(b"Content-Type: text/html\r\n\r\n" + h.encode())) for i, h in enumerate(HOSTILE)]
+    rows = spark.createDataFrame(raw, "message_id STRING, raw BINARY")
+    started = time.time()
+    read = parse_messages(rows).select("parts", select_body(F.col("parts")).alias("body"), extract_urls(F.col("parts")).alias("u"))
+    bodies = [(len(r["body"]), r["u"]) for r in read.collect()]
+    native = [html_to_text(F.lit(h)) for h in HOSTILE]
+    spark.range(1).select(*(F.length(n) for n in native)).collect()
+    assert time.time() - started < 30
+    assert bodies[-1] == (1, ["http://a.example"])
+    assert bodies[4][0] > 0 and bodies[1][0] == 0

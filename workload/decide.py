@@ -340,7 +340,7 @@ def boosted_verdict(spark, sf):
 
 
 def scan_summary_query(spark, sf):
-    """One poll over a mailbox that holds every message, with the page as large as the mailbox."""
+    """One poll over a mailbox that holds every message, without a page limit."""
     raw = inp.messages_raw(spark, sf)
     box = raw.select(
         "message_id",
@@ -348,7 +348,7 @@ def scan_summary_query(spark, sf):
         inp.as_of().alias("internal_ts"),
         F.translate(F.base64("raw"), "+/\r\n", "-_").alias("raw_b64"),
     )
-    params = ScanParams(whitelist_domains=inp.WHITELIST, scan_max_results=2_000_000_000)
+    params = ScanParams(whitelist_domains=inp.WHITELIST, scan_max_results=None)
     seen = inp.ledger(spark, sf)
     result = scan_mailbox(box, seen, inp.snapshots(spark, sf), params, inp.as_of())
     return scan_summary(result.reports)
