@@ -43,25 +43,36 @@ def run_starts(ordered: Column) -> Column:
     )
 
 
-def exploded_counts(texts: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """``doc_id, term, tf``, counted within the row: no shuffle by document and term.
+def term_counts(texts: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """``doc_id, counts ARRAY<STRUCT<term, tf>>``, counted within the row.
 
     Equal terms are neighbours once sorted, so a count is the distance from one
     start of a run to the next. Every step is a projection of its own, which
-    builds each array once.
+    builds each array once. A text without terms has null. A filter on the
+    result would be pushed below these steps and repeat them; explode first.
     """
-    ends = F.concat(
-        F.slice("starts", F.lit(2), F.size("starts")), F.array(F.size("terms") + 1)
-    )
+    ends = F.concat(F.slice("starts", F.lit(2), F.size("starts")), F.array(F.size("terms") + 1))
     counted = F.zip_with(
         "starts", ends, lambda a, b: F.struct(F.get("terms", a - 1).alias("term"), (b - a).alias("tf"))
     )
     return (
         texts.select(doc_id, tokens(F.col(text)).alias("words"))
-        .filter(F.size("words") > 0)
         .select(doc_id, F.sort_array(with_bigrams(F.col("words"))).alias("terms"))
-        .select(doc_id, "terms", run_starts(F.col("terms")).alias("starts"))
-        .select(doc_id, F.explode(counted).alias("t"))
+        .select(doc_id, "terms", F.when(F.size("terms") > 0, run_starts(F.col("terms"))).alias("starts"))
+        .select(doc_id, counted.alias("counts"))
+    )
+
+
+def exploded_counts(texts: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """``doc_id, term, tf``: no shuffle by document and term.
+
+    The outer form keeps the optimizer from testing the array for emptiness
+    first, which would compute it again for the test.
+    """
+    return (
+        term_counts(texts, doc_id, text)
+        .select(doc_id, F.explode_outer("counts").alias("t"))
+        .filter(F.col("t").isNotNull())
         .select(doc_id, "t.term", "t.tf")
     )
 

@@ -89,7 +89,7 @@ def whitelisted_domains(domains: DataFrame, trusted: DataFrame, policy: LookupPo
     """
     distinct = domains.select("sender_domain").distinct()
     suffixes = distinct.select(
-        "sender_domain", F.explode(domain_suffixes(F.col("sender_domain"))).alias("suffix")
+        "sender_domain", F.explode_outer(domain_suffixes(F.col("sender_domain"))).alias("suffix")
     )
     listed = trusted.select(strip(F.lower("domain")).alias("suffix")).distinct()
     if measured_bytes(listed) <= policy.broadcast_bytes:

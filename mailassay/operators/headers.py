@@ -36,8 +36,8 @@ def domain_authentication(dns_txt: DataFrame) -> DataFrame:
             txt.alias("txt"),
         ),
     )
-    roles = dns_txt.select("pos", F.explode(F.array_compact(F.array(as_spf, as_dmarc))).alias("r"))
-    return roles.groupBy(F.col("r.domain").alias("sender_domain")).agg(
+    roles = dns_txt.select("pos", F.explode_outer(F.array(as_spf, as_dmarc)).alias("r"))
+    return roles.filter(F.col("r").isNotNull()).groupBy(F.col("r.domain").alias("sender_domain")).agg(
         F.coalesce(F.max("r.spf"), F.lit(False)).alias("spf_record"),
         F.min_by("r.txt", F.when(F.col("r.txt").isNotNull(), F.col("pos"))).alias("dmarc_txt"),
     )

@@ -21,12 +21,13 @@ def corpus(spark, sf):
 
 def ngrams(spark, sf):
     """Per document: how many terms, how many distinct ones, and a digest of all counts."""
-    counts = classifier.exploded_counts(inp.table(spark, sf, "documents"), "doc_id", "text")
-    pair = F.concat("term", F.lit(":"), "tf")
-    return counts.groupBy("doc_id").agg(
-        F.sum("tf").alias("n_terms"),
-        F.count(F.lit(1)).alias("n_distinct"),
-        F.md5(F.array_join(F.sort_array(F.collect_list(pair)), "|")).alias("counts_md5"),
+    counts = classifier.term_counts(inp.table(spark, sf, "documents"), "doc_id", "text")
+    pairs = F.transform("counts", lambda c: F.concat(c["term"], F.lit(":"), c["tf"]))
+    return counts.select(
+        "doc_id",
+        F.aggregate("counts", F.lit(0).cast("bigint"), lambda n, c: n + c["tf"]).alias("n_terms"),
+        F.size("counts").cast("bigint").alias("n_distinct"),
+        F.md5(F.array_join(F.sort_array(pairs), "|")).alias("counts_md5"),
     )
 
 
@@ -133,8 +134,9 @@ fitted AS (SELECT CAST(row_number() OVER (ORDER BY term) AS INT) AS term_id, ter
 ORACLES = {
     "corpus": f"SELECT doc_id, label, md5(text) AS text_md5 FROM ({CORPUS_SQL}) AS c",
     "ngrams": f"""WITH {_terms("SELECT * FROM documents")}
-      SELECT doc_id, CAST(sum(tf) AS BIGINT) AS n_terms, count(*) AS n_distinct,
-      md5(string_agg(term || ':' || tf, '|' ORDER BY term || ':' || tf)) AS counts_md5 FROM counts GROUP BY doc_id""",
+      , per_doc AS (SELECT doc_id, CAST(sum(tf) AS BIGINT) AS n_terms, count(*) AS n_distinct,
+      md5(string_agg(term || ':' || tf, '|' ORDER BY term || ':' || tf)) AS counts_md5 FROM counts GROUP BY doc_id)
+      SELECT d.doc_id, n_terms, n_distinct, counts_md5 FROM documents d LEFT JOIN per_doc p ON p.doc_id = d.doc_id""",
     "vocabulary": f"WITH {_VOCABULARY_CTES} SELECT term_id, term, df, cf, round_even(idf, 6) AS idf FROM fitted",
     "tfidf": f"""WITH {_VOCABULARY_CTES},
       w AS (SELECT doc_id, c.term, (1.0 + ln(tf)) * idf AS w FROM counts c JOIN fitted f ON f.term = c.term),

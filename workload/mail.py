@@ -154,17 +154,15 @@ def html_to_text_query(spark, sf):
 
 def link_attrs(spark, sf):
     """Links of the pages (all relative: none counts) and of HTML messages."""
-    pages = inp.table(spark, sf, "pages").select(
-        F.concat(F.lit("p"), "page_id").alias("id"), F.explode(link_attributes(F.col("html"))).alias("url")
-    )
-    mail = inp.messages_flat(spark, sf).filter("kind > 0").select(
-        F.concat(F.lit("m"), "message_id").alias("id"), F.explode(link_attributes(F.col("html"))).alias("url")
-    )
-    return pages.unionByName(mail)
+    urls = F.explode_outer(link_attributes(F.col("html"))).alias("url")
+    pages = inp.table(spark, sf, "pages").select(F.concat(F.lit("p"), "page_id").alias("id"), urls)
+    mail = inp.messages_flat(spark, sf).filter("kind > 0").select(F.concat(F.lit("m"), "message_id").alias("id"), urls)
+    return pages.unionByName(mail).filter(F.col("url").isNotNull())
 
 
 def extract_urls_query(spark, sf):
-    return inp.messages(spark, sf).select("message_id", F.explode(extract_urls(F.col("parts"))).alias("url"))
+    urls = F.explode_outer(extract_urls(F.col("parts"))).alias("url")
+    return inp.messages(spark, sf).select("message_id", urls).filter(F.col("url").isNotNull())
 
 
 def resolve_redirects_query(spark, sf):
