@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from mailassay.functions.urls import reputation_key
 from mailassay.plans.analyze import Snapshots
-from mailassay.session import spread
+from mailassay.session import spread, stage_table
 
 AS_OF = "TIMESTAMP '2024-02-01 00:00:00'"
 
@@ -376,10 +376,11 @@ def page_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def snapshots(spark: SparkSession, sf_dir: str, **more) -> Snapshots:
+    """Lookup tables, written once as they would be given."""
     return Snapshots(
-        dns_txt=dns_txt(spark, sf_dir),
-        reputation=reputation(spark, sf_dir),
-        page_verdicts=page_verdicts(spark, sf_dir),
+        dns_txt=stage_table(dns_txt(spark, sf_dir), "dns-txt"),
+        reputation=stage_table(reputation(spark, sf_dir), "reputation"),
+        page_verdicts=stage_table(page_verdicts(spark, sf_dir), "page-verdicts"),
         **more,
     )
 
