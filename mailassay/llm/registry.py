@@ -3,16 +3,23 @@
 from __future__ import annotations
 
 from mailassay.llm.compression import op1_compression_bands
+from mailassay.llm.cross_entropy import ORACLE as CROSS_ENTROPY_SQL
+from mailassay.llm.cross_entropy import op3_cross_entropy_difference
 from mailassay.llm.language import op4_language_bitmask
 from mailassay.llm.secret_scan import op9_structural_confirmation
+from mailassay.llm.simhash import op2_vantage_point_trees
+from mailassay.llm.tiling import op7_greedy_string_tiling
 
 QUERIES = {
     f.__name__: f
     for f in (
         op1_compression_bands,
+        op2_vantage_point_trees,
+        op3_cross_entropy_difference,
         op4_language_bitmask,
+        op7_greedy_string_tiling,
         op9_structural_confirmation,
     )
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op3_cross_entropy_difference": CROSS_ENTROPY_SQL}
