@@ -58,3 +58,26 @@ def segment_sums(values: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     total = np.concatenate([[0], np.cumsum(values, dtype=np.float64 if values.dtype.kind == "f" else np.int64)])
     ends = np.cumsum(lengths)
     return total[ends] - total[ends - lengths]
+
+
+def attach(docs: DataFrame, answers: DataFrame, columns: list[str]) -> DataFrame:
+    """``docs`` with ``columns`` of ``answers``, joined on doc_id and text_key.
+
+    ``answers`` has one row per key, and ``n_rows``, how many rows of the documents
+    have that key. Documents without an answer go; rows that agree in id and text
+    become one row. The join spreads evenly, as a key is one document.
+    """
+    named = answers.select(
+        F.col("doc_id").alias("__id"), F.col("text_key").alias("__key"), F.col("n_rows").alias("__rows"),
+        *(F.col(c).alias(f"__answer_{c}") for c in columns),
+    )
+    keyed = docs.withColumns({"__doc_id": F.col("doc_id").cast("bigint"), "__text_key": text_key()})
+    joined = keyed.join(
+        named, F.col("__doc_id").eqNullSafe(F.col("__id")) & (F.col("__text_key") == F.col("__key"))
+    )
+    if answers.filter("n_rows > 1").limit(1).count():
+        once = joined.filter("__rows > 1").dropDuplicates(["__id", "__key"])
+        joined = joined.filter("__rows = 1").unionByName(once)
+    return joined.select(
+        *(F.col(f"`{c}`") for c in docs.columns), *(F.col(f"__answer_{c}").alias(c) for c in columns)
+    )

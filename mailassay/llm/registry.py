@@ -6,7 +6,10 @@ from mailassay.llm.compression import op1_compression_bands
 from mailassay.llm.cross_entropy import ORACLE as CROSS_ENTROPY_SQL
 from mailassay.llm.cross_entropy import op3_cross_entropy_difference
 from mailassay.llm.language import op4_language_bitmask
+from mailassay.llm.licenses import op6_diagonal_voting
+from mailassay.llm.pivotal import op8_pivotal_rounding
 from mailassay.llm.secret_scan import op9_structural_confirmation
+from mailassay.llm.sharding import op10_hypergeometric_shuffle
 from mailassay.llm.simhash import op2_vantage_point_trees
 from mailassay.llm.tiling import op7_greedy_string_tiling
 
@@ -17,8 +20,11 @@ QUERIES = {
         op2_vantage_point_trees,
         op3_cross_entropy_difference,
         op4_language_bitmask,
+        op6_diagonal_voting,
         op7_greedy_string_tiling,
+        op8_pivotal_rounding,
         op9_structural_confirmation,
+        op10_hypergeometric_shuffle,
     )
 }
 
