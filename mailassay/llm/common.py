@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from mailassay.session import stage_table
+
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
@@ -67,6 +69,7 @@ def attach(docs: DataFrame, answers: DataFrame, columns: list[str]) -> DataFrame
     have that key. Documents without an answer go; rows that agree in id and text
     become one row. The join spreads evenly, as a key is one document.
     """
+    answers = stage_table(answers, "answers")
     named = answers.select(
         F.col("doc_id").alias("__id"), F.col("text_key").alias("__key"), F.col("n_rows").alias("__rows"),
         *(F.col(c).alias(f"__answer_{c}") for c in columns),

@@ -30,7 +30,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from mailassay.llm.common import documents, text_key
+from mailassay.llm.common import attach, documents, text_key
 from mailassay.session import stage_table
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -222,6 +222,19 @@ def mix(docs: DataFrame, policy: MixPolicy = MixPolicy(), id_column="doc_id", te
     )
 
 
+def take_copies(docs: DataFrame, policy: MixPolicy = MixPolicy()) -> DataFrame:
+    """``docs`` with each row as often as the mix takes it."""
+    copies = (
+        mix(docs, policy)
+        .groupBy("doc_id", "text_key")
+        .agg(F.sum("copies").alias("__copies"), F.count("*").alias("n_rows"))
+        .filter("__copies > 0")
+    )
+    taken = attach(docs, copies, ["__copies"])
+    repeated = taken.withColumn("__copies", F.explode(F.sequence(F.lit(1).cast("bigint"), "__copies")))
+    return repeated.drop("__copies")
+
+
 def op8_pivotal_rounding(spark, sf_dir) -> DataFrame:
     return mix(documents(spark, sf_dir)).select(
         "doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from mailassay.llm.compression import op1_compression_bands
+from mailassay.llm.cotraining import op5_co_training
 from mailassay.llm.cross_entropy import ORACLE as CROSS_ENTROPY_SQL
 from mailassay.llm.cross_entropy import op3_cross_entropy_difference
 from mailassay.llm.language import op4_language_bitmask
@@ -20,6 +21,7 @@ QUERIES = {
         op2_vantage_point_trees,
         op3_cross_entropy_difference,
         op4_language_bitmask,
+        op5_co_training,
         op6_diagonal_voting,
         op7_greedy_string_tiling,
         op8_pivotal_rounding,

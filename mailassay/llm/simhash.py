@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mailassay.llm.common import documents, map_batches, pylist, text_bytes, text_key, words_of
+from mailassay.llm.common import attach, documents, map_batches, pylist, text_bytes, text_key, words_of
 from mailassay.llm.components import connected_components
 from mailassay.session import stage_table
 
@@ -285,7 +285,10 @@ def links(distinct: DataFrame, policy: SimHashPolicy) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, policy: SimHashPolicy = SimHashPolicy(), id_column="doc_id", text_column="text") -> DataFrame:
-    """doc_id, text_key, fingerprint, component_id for every row of ``docs``."""
+    """doc_id, text_key, fingerprint, component_id for every row of ``docs``.
+
+    ``component`` tells components apart even where no row has an id.
+    """
     rows = stage_table(fingerprints(docs, policy, id_column, text_column), "fingerprints")
     distinct = stage_table(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct-fingerprints")
     member = stage_table(connected_components(links(distinct, policy)), "components")
@@ -295,15 +298,26 @@ def near_duplicates(docs: DataFrame, policy: SimHashPolicy = SimHashPolicy(), id
     )
     least = labelled.groupBy("label").agg(F.min("least").alias("component_id"))
     answers = stage_table(
-        labelled.join(least, "label").select("fp", "component_id"), "fingerprint-components"
+        labelled.join(least, "label").select("fp", "component_id", F.col("label").alias("component")),
+        "fingerprint-components",
     )
     return rows.join(answers, "fp").select(
         "doc_id",
         "text_key",
         F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
         "component_id",
+        "component",
     )
 
 
+def one_of_each(docs: DataFrame, policy: SimHashPolicy = SimHashPolicy()) -> DataFrame:
+    """One document of each component: that of the smallest id, then of the smallest text key."""
+    rows = near_duplicates(docs, policy)
+    counted = rows.groupBy("component", "doc_id", "text_key").agg(F.count("*").alias("n_rows"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key", "n_rows"))
+    kept = counted.groupBy("component").agg(first.alias("k")).select("k.doc_id", "k.text_key", "k.n_rows")
+    return attach(docs, kept, [])
+
+
 def op2_vantage_point_trees(spark, sf_dir) -> DataFrame:
-    return near_duplicates(documents(spark, sf_dir)).drop("text_key")
+    return near_duplicates(documents(spark, sf_dir)).drop("text_key", "component")

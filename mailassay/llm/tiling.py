@@ -26,8 +26,9 @@ from __future__ import annotations
 from collections import defaultdict
 from dataclasses import dataclass
 
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mailassay.llm.common import documents, map_batches, pylist, text_bytes, text_key
@@ -196,6 +197,24 @@ def find_leaks(
     return found
 
 
+def is_contaminated(docs: DataFrame, benchmark: DataFrame, policy: TilingPolicy = TilingPolicy(), text_column: str = "text") -> Column:
+    """Whether any item leaks into the row's text, computed where the row is."""
+    found = F.lit(False)
+    for block in blocks(benchmark, policy, "item_id", "text"):
+        found = found | _leak_test(docs, Seeds(block, policy))(text_bytes(text_column))
+    return found
+
+
+def _leak_test(docs: DataFrame, seeds: Seeds):
+    shared = docs.sparkSession.sparkContext.broadcast(seeds)
+
+    @F.pandas_udf("boolean")
+    def leaks(texts: pd.Series) -> pd.Series:
+        return pd.Series([next(shared.value.leaks(t), None) is not None for t in texts], dtype=bool)
+
+    return leaks
+
+
 def op7_greedy_string_tiling(spark, sf_dir) -> DataFrame:
     """Documents that contain a benchmark item, whole or in reordered passages."""
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
