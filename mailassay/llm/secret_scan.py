@@ -45,7 +45,7 @@ PEM = re.compile(r"-----BEGIN ((?:[A-Z0-9]+ )*PRIVATE KEY)-----([^-]*)-----END \
 JWT = re.compile(r"(eyJ[A-Za-z0-9_-]+)\.([A-Za-z0-9_-]+)\.([A-Za-z0-9_-]*)")
 _HEX_CLASS = bytes(1 if chr(i) in "0123456789abcdef" else 0 for i in range(256))
 _BASE64_CLASS = bytes(
-    1 if i < 128 and (chr(i).isalnum() or chr(i) in "+/_-=") else 0 for i in range(256)
+    1 if i < 128 and (chr(i).isalnum() or chr(i) in "+/_-") else 0 for i in range(256)
 )
 
 SCHEMA = (
@@ -217,11 +217,9 @@ def confirmed_spans(raw: bytes, text: str, offset) -> list[tuple[int, int, str]]
             if is_signed_token(*m.groups()):
                 found.append((m.start(), m.end(), "jwt"))
     for start, end in runs(raw, _BASE64_CLASS, MIN_ENCODED):
-        # an assignment sign in front belongs to the class as padding does
-        candidate = raw[start:end].decode("ascii")
-        start += len(candidate) - len(candidate.lstrip("="))
-        kind = key_kind(candidate.lstrip("="))
+        kind = key_kind(raw[start:end].decode("ascii"))
         if kind:
+            end += len(raw[end : end + 2]) - len(raw[end : end + 2].lstrip(b"="))  # padding
             found.append((offset(start), offset(end), kind))
     return found
 
