@@ -62,25 +62,36 @@ def segment_sums(values: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return total[ends] - total[ends - lengths]
 
 
-def attach(docs: DataFrame, answers: DataFrame, columns: list[str]) -> DataFrame:
-    """``docs`` with ``columns`` of ``answers``, joined on doc_id and text_key.
+def plain_names(docs: DataFrame) -> DataFrame:
+    """``docs`` with its columns named c0, c1, …, so that no name clashes with an added one."""
+    return docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))
+
+
+def restored(docs: DataFrame, skip: tuple[str, ...] = ()) -> list[Column]:
+    """The columns of ``plain_names(docs)`` under their own names, but for ``skip``."""
+    return [F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns) if c not in skip]
+
+
+def attach(docs: DataFrame, answers: DataFrame, copies: str | None = None) -> DataFrame:
+    """The rows of ``docs`` whose doc_id and text_key are in ``answers``, ``copies`` times each.
 
     ``answers`` has one row per key, and ``n_rows``, how many rows of the documents
-    have that key. Documents without an answer go; rows that agree in id and text
-    become one row. The join spreads evenly, as a key is one document.
+    have that key; rows that agree in id and text become one row first. The join
+    spreads evenly, as a key is one document.
     """
     answers = stage_table(answers, "answers")
+    times = F.col(copies) if copies else F.lit(1)
     named = answers.select(
-        F.col("doc_id").alias("__id"), F.col("text_key").alias("__key"), F.col("n_rows").alias("__rows"),
-        *(F.col(c).alias(f"__answer_{c}") for c in columns),
+        F.col("doc_id").alias("id"), F.col("text_key").alias("key"), "n_rows", times.alias("times")
     )
-    keyed = docs.withColumns({"__doc_id": F.col("doc_id").cast("bigint"), "__text_key": text_key()})
-    joined = keyed.join(
-        named, F.col("__doc_id").eqNullSafe(F.col("__id")) & (F.col("__text_key") == F.col("__key"))
+    place = {c: f"c{i}" for i, c in enumerate(docs.columns)}
+    keyed = plain_names(docs).withColumns(
+        {"own_id": F.col(place["doc_id"]).cast("bigint"), "own_key": text_key(place["text"])}
     )
+    joined = keyed.join(named, F.col("own_id").eqNullSafe(F.col("id")) & (F.col("own_key") == F.col("key")))
     if answers.filter("n_rows > 1").limit(1).count():
-        once = joined.filter("__rows > 1").dropDuplicates(["__id", "__key"])
-        joined = joined.filter("__rows = 1").unionByName(once)
-    return joined.select(
-        *(F.col(f"`{c}`") for c in docs.columns), *(F.col(f"__answer_{c}").alias(c) for c in columns)
-    )
+        once = joined.filter("n_rows > 1").dropDuplicates(["own_id", "own_key"])
+        joined = joined.filter("n_rows = 1").unionByName(once)
+    if copies:
+        joined = joined.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("bigint"), "times")))
+    return joined.select(*restored(docs))

@@ -227,12 +227,10 @@ def take_copies(docs: DataFrame, policy: MixPolicy = MixPolicy()) -> DataFrame:
     copies = (
         mix(docs, policy)
         .groupBy("doc_id", "text_key")
-        .agg(F.sum("copies").alias("__copies"), F.count("*").alias("n_rows"))
-        .filter("__copies > 0")
+        .agg(F.sum("copies").alias("copies"), F.count("*").alias("n_rows"))
+        .filter("copies > 0")
     )
-    taken = attach(docs, copies, ["__copies"])
-    repeated = taken.withColumn("__copies", F.explode(F.sequence(F.lit(1).cast("bigint"), "__copies")))
-    return repeated.drop("__copies")
+    return attach(docs, copies, "copies")
 
 
 def op8_pivotal_rounding(spark, sf_dir) -> DataFrame:

@@ -26,7 +26,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from mailassay.llm.common import documents
+from mailassay.llm.common import documents, plain_names, restored
 from mailassay.session import stage_table
 
 
@@ -123,13 +123,11 @@ def numbered(rows: DataFrame, name: str) -> DataFrame:
 
 
 def shard_documents(docs: DataFrame, policy: ShardPolicy = ShardPolicy()) -> DataFrame:
-    """All columns of ``docs`` with ``shard`` and ``slot``; rows may repeat."""
-    inner = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))
-    kept = numbered(inner, "documents-to-shard")
-    placed = assign(kept.select("part", "row"), policy).select(F.col("row").alias("r"), "shard", "slot")
-    return kept.join(placed, F.col("row") == F.col("r")).select(
-        *(F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns) if c not in ("shard", "slot")),
-        *(F.col(c) for c in ("shard", "slot")),
+    """All columns of ``docs`` with ``shard`` and ``slot``, which replace columns of that name."""
+    kept = numbered(plain_names(docs), "documents-to-shard")
+    placed = assign(kept.select("part", "row"), policy).select(F.col("row").alias("placed_row"), "shard", "slot")
+    return kept.join(placed, F.col("row") == F.col("placed_row")).select(
+        *restored(docs, skip=("shard", "slot")), "shard", "slot"
     )
 
 

@@ -316,7 +316,7 @@ def one_of_each(docs: DataFrame, policy: SimHashPolicy = SimHashPolicy()) -> Dat
     counted = rows.groupBy("component", "doc_id", "text_key").agg(F.count("*").alias("n_rows"))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key", "n_rows"))
     kept = counted.groupBy("component").agg(first.alias("k")).select("k.doc_id", "k.text_key", "k.n_rows")
-    return attach(docs, kept, [])
+    return attach(docs, kept)
 
 
 def op2_vantage_point_trees(spark, sf_dir) -> DataFrame:
