@@ -27,6 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from mailassay.llm.common import documents, text_key
+from mailassay.session import stage_table
 
 # fixed values: base phrases with their labels
 PHRASES = (
@@ -136,10 +137,14 @@ def find_licenses(docs: DataFrame, policy: ScanPolicy = ScanPolicy(), id_column=
         .filter((F.col("start") < 0) | F.col("template").isNotNull())
     )
     key = ["doc_id", "text_key", "n_words"]
-    # one row per text, template and diagonal; the text itself comes as template null
-    diagonals = votes.groupBy(
-        *key, "template", "label", "base", "total", "width", (F.col("start") - F.col("at")).alias("diagonal")
-    ).agg(F.collect_set("at").alias("voted"), F.count(F.when(F.col("start") < 0, 1)).alias("copies"))
+    # one row per text, template and diagonal; the text itself comes as template null.
+    # Written, as three branches read it: the texts are cut and joined once
+    diagonals = stage_table(
+        votes.groupBy(
+            *key, "template", "label", "base", "total", "width", (F.col("start") - F.col("at")).alias("diagonal")
+        ).agg(F.collect_set("at").alias("voted"), F.count(F.when(F.col("start") < 0, 1)).alias("copies")),
+        "diagonals",
+    )
     complete = F.col("base") & (F.size("voted") == F.col("total") - 1)
     # neighbouring diagonals of one notice that could belong together become one span
     along = Window.partitionBy(*key, "template").orderBy("diagonal")
