@@ -17,30 +17,34 @@ from pyspark.sql import functions as F
 from mailassay.operators.outputs import report_json
 from mailassay.params import ScanParams
 from mailassay.plans.scan import scan_raw
-from mailassay.session import build_session
+from mailassay.session import build_session, staging_scope
 from mailassay.sources.mailbox import read_ledger, read_message_files, stream_message_files, unscanned
 from mailassay.sources.snapshots import load_snapshots
-from mailassay.streaming.scan import start_scan
+from mailassay.streaming.scan import TABLES, start_scan
 
 
 def scan(spark, args, params: ScanParams) -> None:
+    with staging_scope(spark):
+        _scan(spark, args, params)
+
+
+def _scan(spark, args, params: ScanParams) -> None:
     as_of = datetime.now(timezone.utc)
     ledger = read_ledger(spark, f"{args.out}/ledger")
     raw = unscanned(read_message_files(spark, args.messages), ledger)
     result = scan_raw(raw, ledger, load_snapshots(spark, args.snapshots, params), params, F.lit(as_of))
     run = f"run={as_of:%Y%m%dT%H%M%S}"
     report_json(result.reports).select("report").write.text(f"{args.out}/json/{run}")
-    for table in ("reports", "actions", "alerts", "threats", "failures"):
+    for table in TABLES:
         getattr(result, table).write.parquet(f"{args.out}/{table}/{run}")
     # last, so that a run that fails halfway is repeated in full
-    marked = result.reports.select("message_id").unionByName(result.failures.select("message_id"))
-    marked.withColumn("scanned_at", F.lit(as_of)).write.mode("append").parquet(f"{args.out}/ledger")
+    result.marks(F.lit(as_of)).write.mode("append").parquet(f"{args.out}/ledger")
 
 
 def watch(spark, args, params: ScanParams) -> None:
     stream = stream_message_files(spark, args.messages)
     query = start_scan(
-        stream, "received_at", args.out, lambda s: load_snapshots(s, args.snapshots, params), params
+        stream, args.out, lambda s: load_snapshots(s, args.snapshots, params), params
     )
     if query is not None:
         query.awaitTermination()

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from mailassay import lexicon as lx
 from mailassay.functions.text import half_even, tokens, with_bigrams
 from mailassay.schemas import CLASSIFIER_TERMS
-from mailassay.session import shared_folder, stage_table
+from mailassay.session import path_exists, shared_folder, stage_table
 
 MAX_TERMS = 5_000
 
@@ -193,13 +193,12 @@ def load_model(spark: SparkSession, path: str) -> Model:
 
 
 def load_or_train(spark: SparkSession, path: str, texts: DataFrame) -> Model:
-    """The saved model if it can be read, else one trained on ``texts`` and saved."""
-    try:
+    """The saved model if there is one, else one trained on ``texts`` and saved."""
+    if path_exists(spark, path):
         return load_model(spark, path)
-    except Exception:
-        model = train(texts)
-        save_model(model, path)
-        return model
+    model = train(texts)
+    save_model(model, path)
+    return model
 
 
 def predict(texts: DataFrame, model: Model, doc_id: str, text: str) -> DataFrame:

@@ -31,7 +31,7 @@ def domain_authentication(dns_txt: DataFrame) -> DataFrame:
     as_dmarc = F.when(
         F.startswith(name, F.lit(_DMARC_PREFIX)) & F.contains(txt, F.lit("v=DMARC1")),
         F.struct(
-            F.substring(name, len(_DMARC_PREFIX) + 1, 10_000).alias("domain"),
+            F.substr(name, F.lit(len(_DMARC_PREFIX) + 1)).alias("domain"),
             F.lit(None).cast("boolean").alias("spf"),
             txt.alias("txt"),
         ),

@@ -61,11 +61,15 @@ def resolve_redirects(
 
 
 def latest_reputation(observations: DataFrame) -> DataFrame:
-    """Upsert: the last observation of each key. Combines before the shuffle."""
+    """Upsert: the last observation of each key. Combines before the shuffle.
+
+    Only answers count (200 known, 404 unknown); a failed request is no answer.
+    """
     values = ["status_code", "malicious", "suspicious", "observed_at"]
     order = F.struct("observed_at", "status_code", "malicious", "suspicious")
     return (
-        observations.groupBy("url_key")
+        observations.filter(F.col("status_code").isin(200, 404))
+        .groupBy("url_key")
         .agg(F.max_by(F.struct(*values), order).alias("r"))
         .select("url_key", "r.*")
     )
@@ -131,6 +135,16 @@ def page_verdict_result(result_json: Column) -> Column:
     )
 
 
+def latest_answers(answers: DataFrame, key: str, value: str, severe: Column) -> DataFrame:
+    """One row per key: the latest by ``observed_at`` if the table has it.
+
+    Of answers of one time, or of a table without times, a severe one goes first.
+    """
+    observed = F.col("observed_at") if "observed_at" in answers.columns else F.lit(None).cast("timestamp")
+    order = F.struct(observed, severe, F.col(value))
+    return answers.filter(F.col(key).isNotNull()).groupBy(key).agg(F.max_by(value, order).alias(value))
+
+
 # --- selection and scoring
 
 
@@ -183,9 +197,9 @@ def score_urls(
         )
 
     if page_verdicts is not None and params.page_verdicts_enabled:
-        known = page_verdicts.groupBy(F.col("url").alias("final_url")).agg(
-            F.max("result_json").alias("result_json")
-        )
+        malicious = page_verdict_result(F.col("result_json"))["malicious"]
+        known = latest_answers(page_verdicts, "url", "result_json", malicious)
+        known = known.withColumnRenamed("url", "final_url")
         urls = lookup(urls, known, "final_url", row_id, params.lookup)
     else:
         urls = urls.withColumn("result_json", F.lit(None).cast("string"))

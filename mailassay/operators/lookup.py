@@ -31,14 +31,14 @@ def lookup(
     Small tables, by measured size, are broadcast. Otherwise the hot keys of
     ``left`` are answered from a broadcast of at most ``max_hot_keys`` rows;
     their rows and rows without a key get a key of their own, so that the
-    shuffle join spreads them evenly. No row is lost in either way.
+    shuffle join spreads them evenly. No row is lost in either way. The reduced
+    table is written once, so that measuring and joining do not reduce it twice.
     """
+    table = stage_table(table, f"table-{key}")
     if measured_bytes(table) <= policy.broadcast_bytes:
         return left.join(F.broadcast(table), key, "left")
 
-    # both are read twice below
-    left = stage_table(left, f"lookup-{key}")
-    table = stage_table(table, f"table-{key}")
+    left = stage_table(left, f"lookup-{key}")  # read twice below
     values = [c for c in table.columns if c != key]
     hot = (
         left.groupBy(key)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from mailassay import lexicon as lx
 from mailassay.functions.text import html_escape, readable_stamp
@@ -11,9 +12,28 @@ from mailassay.params import ScanParams
 
 
 def report_json(reports: DataFrame) -> DataFrame:
-    """One JSON object per report; absent sections are left out."""
-    body = F.struct(*(c for c in reports.columns if c != "message_id"))
-    return reports.select("message_id", F.to_json(body).alias("report"))
+    """One JSON object per report; absent sections are left out, nulls inside them stay."""
+
+    def member(name: str, section: Column, kind: T.DataType) -> Column:
+        if isinstance(kind, T.StructType):
+            text = F.to_json(section, {"ignoreNullFields": "false"})
+        else:  # a bare value, by way of a list of one
+            listed = F.to_json(F.array(section), {"ignoreNullFields": "false"})
+            text = F.substring(listed, 2, F.length(listed) - 2)
+        return F.when(section.isNotNull(), F.concat(F.lit(f'"{name}":'), text))
+
+    def members(parent: Column | None, kind: T.StructType, skip: tuple[str, ...] = ()) -> Column:
+        given = [
+            member(f.name, parent[f.name] if parent is not None else F.col(f.name), f.dataType)
+            for f in kind.fields
+            if f.name not in skip
+        ]
+        return F.concat(F.lit("{"), F.concat_ws(",", *given), F.lit("}"))
+
+    details = F.concat(F.lit('"details":'), members(F.col("details"), reports.schema["details"].dataType))
+    top = members(None, reports.schema, skip=("message_id", "details"))
+    body = F.concat(F.substring(top, 1, F.length(top) - 1), F.lit(","), details, F.lit("}"))
+    return reports.select("message_id", body.alias("report"))
 
 
 def label_changes(verdict: Column, warning_label: str) -> tuple[Column, Column]:

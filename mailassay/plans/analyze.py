@@ -1,4 +1,4 @@
-"""The analysis of messages: one lazy plan from parsed messages to reports."""
+"""The analysis of messages: from parsed messages to reports."""
 
 from __future__ import annotations
 
@@ -8,10 +8,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mailassay import lexicon as lx
+from mailassay.functions import masking
 from mailassay.functions.text import iso_utc, select_body, sender_domain
 from mailassay.functions.urls import extract_urls
 from mailassay.operators import classifier, content, decision, headers, links
+from mailassay.operators.lookup import lookup
 from mailassay.params import ScanParams
+from mailassay.schemas import REPUTATION
 from mailassay.session import stage_table
 
 
@@ -30,13 +33,18 @@ class Snapshots:
 def message_features(messages: DataFrame, params: ScanParams) -> DataFrame:
     """Narrow columns from headers and parts; the parts go no further.
 
-    Trusted senders skip everything: their body and URLs are not even derived.
+    Trusted senders skip everything: their body and URLs are not even derived. The
+    body stays only where a classifier may need it. ``row_key`` tells messages
+    apart that have the same id or none.
     """
     domain = messages.withColumn("sender_domain", sender_domain(F.col("from_header")))
     safe = domain.withColumn("safe", decision.is_whitelisted(F.col("sender_domain"), params))
     examined = ~F.col("safe")
-    return safe.select(
+    kept = [c for c in ("parse_error",) if c in messages.columns]
+    derived = safe.select(
+        F.monotonically_increasing_id().alias("row_key"),
         F.col("message_id").cast("string").alias("message_id"),
+        *kept,
         "subject",
         "sender",
         "sender_domain",
@@ -46,11 +54,7 @@ def message_features(messages: DataFrame, params: ScanParams) -> DataFrame:
         F.when(examined, select_body(F.col("parts"))).alias("body"),
         F.when(examined, extract_urls(F.col("parts"))).alias("urls"),
     )
-
-
-def score_messages(features: DataFrame, dns_txt: DataFrame, params: ScanParams) -> DataFrame:
-    """Add ``header``, ``content``, ``pre_score``, ``gate``; keep the first URLs only."""
-    hits = features.withColumns(
+    features = derived.withColumns(
         {
             "found_keywords": content.keyword_hits(F.col("body")),
             "urgency": content.urgency_hits(F.col("body")),
@@ -58,9 +62,12 @@ def score_messages(features: DataFrame, dns_txt: DataFrame, params: ScanParams)
             "urls": links.first_urls(F.col("urls"), params.max_urls_per_message),
         }
     )
-    if params.nlp_provider != "local":
-        hits = hits.drop("body")  # the text never travels through a join
-    scored = headers.score_headers(hits, dns_txt, params.lookup).withColumn(
+    return features if params.nlp_provider != "disabled" else features.drop("body")
+
+
+def score_messages(features: DataFrame, dns_txt: DataFrame, params: ScanParams) -> DataFrame:
+    """Add ``header``, ``content``, ``pre_score``, ``gate``; the text stays behind."""
+    scored = headers.score_headers(features.drop("body"), dns_txt, params.lookup).withColumn(
         "content", content.content_result(F.col("found_keywords"), F.col("urgency"))
     )
     pre = decision.pre_score(
@@ -73,43 +80,56 @@ def score_messages(features: DataFrame, dns_txt: DataFrame, params: ScanParams)
     )
 
 
+def gated_urls(scored: DataFrame) -> DataFrame:
+    """(row_key, url) of the messages whose links are looked up; others do not enter."""
+    examined = scored.filter(~F.col("safe") & (F.col("gate") == "GREY"))
+    return examined.select("row_key", F.explode("urls").alias("url"))
+
+
+def lookup_requests(scored: DataFrame, snapshots: Snapshots, params: ScanParams, as_of: Column) -> DataFrame:
+    """Normalised URLs of a scan that no fresh reputation is known for: what to ask for next."""
+    urls = gated_urls(scored).select("url").distinct()
+    if snapshots.redirects is not None:
+        urls = links.resolve_redirects(urls, snapshots.redirects, "url", params.lookup)
+    else:
+        urls = urls.withColumn("final_url", F.col("url"))
+    known = snapshots.reputation
+    if known is None:
+        known = scored.sparkSession.createDataFrame([], REPUTATION)
+    return links.urls_to_refresh(urls, known, as_of, params.reputation_ttl_seconds)
+
+
 def _rate_urls(scored: DataFrame, snapshots: Snapshots, params: ScanParams, as_of: Column) -> DataFrame:
-    """One row per message again, with ``url_score`` and ``analyzed_urls``.
+    """``scored`` with ``url_score`` and ``analyzed_urls``.
 
-    Messages travel with their at most five URLs through the lookups and are
-    put together by one aggregation, which first combines within the task.
+    Each distinct URL is rated once, however many messages have it; the ratings
+    then join the narrow (row_key, url) rows, of which one aggregation makes a
+    row per message.
     """
-    looked_up = F.when(~F.col("safe") & (F.col("gate") == "GREY"), F.col("urls"))
-    carried = [c for c in scored.columns if c not in ("message_id", "urls", "body")]
-    exploded = scored.select(
-        "message_id", F.struct(*carried).alias("m"), F.explode_outer(looked_up).alias("url")
-    )
+    asked = gated_urls(scored)
     rated = links.score_urls(
-        exploded,
-        "message_id",
+        asked.select("url").distinct(),
+        "url",
         params,
         as_of,
         snapshots.redirects,
         snapshots.reputation,
         snapshots.page_verdicts,
-    )
-    has_url = F.col("url").isNotNull()
-    return (
-        rated.groupBy("message_id")
+    ).select("url", "url_risk", links.analysed_url().alias("result"))
+    found = (
+        lookup(asked, rated, "url", "row_key", params.lookup)
+        .groupBy("row_key")
         .agg(
-            F.first("m").alias("m"),
-            F.max(F.when(has_url, F.col("url_risk"))).alias("highest"),
-            F.sort_array(F.collect_list(F.when(has_url, links.analysed_url()))).alias(
-                "analyzed_urls"
-            ),
-        )
-        .select(
-            "message_id",
-            "m.*",
-            links.message_url_score(F.col("highest")).alias("url_score"),
-            "analyzed_urls",
+            F.max("url_risk").alias("highest"),
+            F.sort_array(F.collect_list("result")).alias("analyzed_urls"),
         )
     )
+    none = F.array().cast(found.schema["analyzed_urls"].dataType)
+    return scored.drop("urls").join(found, "row_key", "left").select(
+        *(c for c in scored.columns if c != "urls"),
+        links.message_url_score(F.col("highest")).alias("url_score"),
+        F.coalesce("analyzed_urls", none).alias("analyzed_urls"),
+    )
 
 
 def _grey_candidates(scored: DataFrame, params: ScanParams) -> DataFrame:
@@ -123,29 +143,55 @@ def _grey_candidates(scored: DataFrame, params: ScanParams) -> DataFrame:
     return scored.filter(~F.col("safe") & (F.col("pre_score") <= high) & (reach >= low))
 
 
-def _probabilities(scored: DataFrame, snapshots: Snapshots, params: ScanParams) -> DataFrame | None:
+def _probabilities(
+    features: DataFrame, scored: DataFrame, snapshots: Snapshots, params: ScanParams
+) -> tuple[DataFrame, str] | None:
+    """Probabilities and the column that they are joined on."""
     if params.nlp_provider == "local" and snapshots.model is not None:
-        texts = _grey_candidates(scored, params).select("message_id", "body")
-        return classifier.predict(texts, snapshots.model, "message_id", "body")
+        candidates = _grey_candidates(scored, params).select("row_key")
+        texts = features.select("row_key", "body").join(candidates, "row_key", "left_semi")
+        return classifier.predict(texts, snapshots.model, "row_key", "body"), "row_key"
     if params.nlp_provider == "remote_api" and snapshots.remote_scores is not None:
-        return snapshots.remote_scores.select(
-            F.col("message_id").cast("string").alias("message_id"),
-            classifier.remote_probability(F.col("response_json")).alias("probability"),
-        )
+        # of several answers the latest counts; of one time, the least reassuring
+        answers = snapshots.remote_scores.withColumn("message_id", F.col("message_id").cast("string"))
+        probability = classifier.remote_probability(F.col("response_json"))
+        latest = links.latest_answers(answers, "message_id", "response_json", probability)
+        return latest.select("message_id", probability.alias("probability")), "message_id"
     return None
 
 
+def outbound_texts(
+    features: DataFrame, scored: DataFrame, reports: DataFrame, params: ScanParams
+) -> DataFrame:
+    """(message_id, text) to send to the remote classifier: grey messages, masked and cut."""
+    if params.nlp_provider != "remote_api":
+        return features.sparkSession.createDataFrame([], "message_id STRING, text STRING")
+    low, high = params.nlp_grey_zone_min, params.nlp_grey_zone_max
+    base = F.col("risk_score") - F.coalesce(F.when(F.col("nlp.applied"), F.col("nlp.nlp_boost")), F.lit(0))
+    grey = reports.filter(F.col("nlp").isNotNull() & base.between(low, high)).select("message_id")
+    candidates = _grey_candidates(scored, params).select("row_key")
+    texts = features.select("row_key", "message_id", "body").join(candidates, "row_key", "left_semi")
+    chosen = texts.join(grey.distinct(), "message_id", "left_semi")
+    return masking.with_outbound_text(chosen, "body", "text").select("message_id", "text")
+
+
 def analyze_messages(
     messages: DataFrame, snapshots: Snapshots, params: ScanParams, as_of: Column
 ) -> DataFrame:
     """Reports for parsed messages (see ``schemas.PARSED_MESSAGE``), one per message.
 
-    With the local classifier the scored messages are written once, as two
-    branches read them.
+    Messages with the same id, or with none, get a report each. What the messages
+    come down to is written once, narrow; messages, links and classifier read that.
     """
-    scored = score_messages(message_features(messages, params), snapshots.dns_txt, params)
-    if params.nlp_provider == "local":
-        scored = stage_table(scored, "scored-messages")
+    features = stage_table(message_features(messages, params), "message-features")
+    return analyze_features(features, snapshots, params, as_of)
+
+
+def analyze_features(
+    features: DataFrame, snapshots: Snapshots, params: ScanParams, as_of: Column
+) -> DataFrame:
+    """Reports for a written table of ``message_features``."""
+    scored = score_messages(features, snapshots.dns_txt, params)
     rated = _rate_urls(scored, snapshots, params, as_of)
 
     header_score = F.col("header.header_risk_score")
@@ -153,9 +199,9 @@ def analyze_messages(
     base = decision.final_risk(header_score, content_score, F.col("url_score"))
     rated = rated.withColumn("base_score", base)
 
-    probabilities = _probabilities(scored, snapshots, params)
+    probabilities = _probabilities(features, scored, snapshots, params)
     if probabilities is not None:
-        rated = rated.join(probabilities, "message_id", "left")
+        rated = rated.join(*probabilities, "left")
     else:
         rated = rated.withColumn("probability", F.lit(None).cast("double"))
     provider = params.nlp_provider if probabilities is not None else "disabled"

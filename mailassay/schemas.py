@@ -27,3 +27,4 @@ THREAT = (
     "message_id STRING, subject STRING, sender STRING, risk_score INT, verdict STRING, "
     "action STRING, detected_at STRING"
 )
+COUNTERS = "total_scanned BIGINT, total_blocked BIGINT"

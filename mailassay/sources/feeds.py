@@ -15,9 +15,13 @@ def read_feed_json(spark: SparkSession, path: str, multi_line: bool = True) -> D
     return spark.read.schema(FEED_JSON).option("multiLine", multi_line).json(path)
 
 
-def read_feed_csv(spark: SparkSession, path: str) -> DataFrame:
-    """A CSV with a header, every column as text."""
-    return spark.read.option("header", True).option("encoding", "UTF-8").csv(path)
+def read_feed_csv(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+    """A CSV with a header, every column as text; quotes are doubled inside quotes.
+
+    ``multi_line=False`` if no field has a line break: the file can then be split.
+    """
+    reader = spark.read.option("header", True).option("encoding", "UTF-8")
+    return reader.option("quote", '"').option("escape", '"').option("multiLine", multi_line).csv(path)
 
 
 def _names_target(target: Column, keyword: str) -> Column:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from mailassay.lexicon import NO_SENDER, NO_SUBJECT
 from mailassay.schemas import LEDGER
+from mailassay.session import read_if_exists
 
 
 def read_message_files(spark: SparkSession, path: str, pattern: str = "*.eml") -> DataFrame:
@@ -68,7 +69,7 @@ def with_header_defaults(messages: DataFrame) -> DataFrame:
 
 def backlog_signal(page: DataFrame, ledger: DataFrame, max_results: int) -> DataFrame:
     """One row: how full the page was, how much of it was known, and whether to warn."""
-    marks = ledger.select("message_id", F.lit(1).alias("known"))
+    marks = ledger.select("message_id", F.lit(1).alias("known")).distinct()
     counted = page.join(marks, "message_id", "left").agg(
         F.count(F.lit(1)).alias("refs"), F.coalesce(F.sum("known"), F.lit(0)).alias("skipped")
     )
@@ -81,20 +82,19 @@ def backlog_signal(page: DataFrame, ledger: DataFrame, max_results: int) -> Data
 
 
 def read_ledger(spark: SparkSession, path: str) -> DataFrame:
-    """The ledger table; an absent or unreadable one counts as empty."""
-    try:
-        return spark.read.schema(LEDGER).parquet(path)
-    except Exception:
-        return spark.createDataFrame([], LEDGER)
+    """The ledger table; an absent one is empty, one that cannot be read is an error."""
+    return read_if_exists(spark, path, LEDGER)
 
 
-def bounded_ledger(ledger: DataFrame, additions: DataFrame, keep: int = 5_000) -> DataFrame:
-    """Ledger and additions, each id once, cut to the newest ``keep``: a top-k."""
-    return (
+def bounded_ledger(ledger: DataFrame, additions: DataFrame, keep: int | None = 5_000) -> DataFrame:
+    """Ledger and additions, each id once, cut to the newest ``keep``: a top-k.
+
+    ``None`` keeps the whole ledger.
+    """
+    merged = (
         ledger.select("message_id", "scanned_at")
         .unionByName(additions.select("message_id", "scanned_at"))
         .groupBy("message_id")
         .agg(F.max("scanned_at").alias("scanned_at"))
-        .orderBy(F.desc("scanned_at"), "message_id")
-        .limit(keep)
     )
+    return merged if keep is None else merged.orderBy(F.desc("scanned_at"), "message_id").limit(keep)

@@ -2,27 +2,23 @@
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
 from mailassay import schemas
 from mailassay.operators.classifier import Model, load_model
 from mailassay.params import ScanParams
 from mailassay.plans.analyze import Snapshots
+from mailassay.session import path_exists
 
 
 def _table(spark: SparkSession, folder: str, name: str, schema: str) -> DataFrame | None:
-    try:
-        return spark.read.schema(schema).parquet(f"{folder}/{name}")
-    except AnalysisException:  # no such table
-        return None
+    path = f"{folder}/{name}"
+    return spark.read.schema(schema).parquet(path) if path_exists(spark, path) else None
 
 
 def _model(spark: SparkSession, path: str) -> Model | None:
-    try:
-        return load_model(spark, path)
-    except AnalysisException:  # the second opinion then stays off
-        return None
+    # without a model the second opinion stays off
+    return load_model(spark, path) if path_exists(spark, path) else None
 
 
 def load_snapshots(spark: SparkSession, folder: str, params: ScanParams) -> Snapshots:

@@ -13,18 +13,23 @@ from mailassay.params import ScanParams
 from mailassay.plans.analyze import Snapshots
 from mailassay.plans.scan import scan_raw
 from mailassay.schemas import LEDGER
-from mailassay.streaming.stats import merge_recent_threats
+from mailassay.session import staging_scope
+from mailassay.streaming.stats import add_counters, merge_recent_threats
 
-TABLES = ("reports", "actions", "alerts", "threats", "failures")
+TABLES = ("reports", "actions", "alerts", "threats", "failures", "lookup_requests", "outbound_texts")
+#: state on local disk of the executors, saved by changes: a batch touches only its own ids
+_STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def first_deliveries(stream: DataFrame, event_time: str, delay: str = "1 day") -> DataFrame:
-    """Each message id once while its state lives; ``delay`` bounds that state."""
-    return (
-        stream.withColumn(event_time, F.col(event_time).cast("timestamp"))
-        .withWatermark(event_time, delay)
-        .dropDuplicatesWithinWatermark(["message_id"])
-    )
+def first_deliveries(stream: DataFrame) -> DataFrame:
+    """Each message id once, however late it comes; without an id, each content once.
+
+    The state is keyed by id and partitioned with the stream, so what a batch
+    reads and writes of it does not grow with the history.
+    """
+    content = F.sha2(F.col("raw"), 256) if "raw" in stream.columns else F.lit("")
+    key = F.coalesce(F.col("message_id").cast("string"), F.concat(F.lit("\u0001"), content))
+    return stream.withColumn("__delivery", key).dropDuplicates(["__delivery"]).drop("__delivery")
 
 
 def _now() -> Column:
@@ -35,17 +40,6 @@ def read_output(spark: SparkSession, folder: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{table}")
 
 
-def _earlier_ids(spark: SparkSession, folder: str, batch_id: int) -> DataFrame:
-    """Ids marked by earlier batches; a batch that is tried again does not see its own."""
-    schema = f"{LEDGER}, batch_id BIGINT"
-    try:
-        return spark.read.schema(schema).parquet(f"{folder}/ledger").filter(
-            F.col("batch_id") < batch_id
-        )
-    except Exception:  # nothing written yet
-        return spark.createDataFrame([], schema)
-
-
 def batch_writer(
     folder: str,
     snapshots: Callable[[SparkSession], Snapshots],
@@ -55,44 +49,42 @@ def batch_writer(
     """The ``foreachBatch`` function.
 
     Every output of batch N goes to the partition ``batch_id=N``, overwritten if
-    the batch runs again: a lost driver causes neither gaps nor doubles. Ids are
-    marked even if their message could not be read. Actions and alerts are rows
+    the batch runs again: a lost driver causes neither gaps nor doubles. What the
+    batch staged is deleted when its outputs are written. Ids are marked even if
+    their message could not be read. Actions and alerts are rows
     for a delivery job, so a failed delivery cannot hold up the scan.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         moment = as_of()
-        seen = _earlier_ids(spark, folder, batch_id).select("message_id")
-        fresh = batch.select("message_id", "raw").join(seen, "message_id", "left_anti")
-        result = scan_raw(fresh, spark.createDataFrame([], LEDGER), snapshots(spark), params, moment)
-        for table in TABLES:
-            getattr(result, table).write.mode("overwrite").parquet(
-                f"{folder}/{table}/batch_id={batch_id}"
-            )
-        marks = result.reports.select("message_id").unionByName(result.failures.select("message_id"))
-        marks.withColumn("scanned_at", moment).write.mode("overwrite").parquet(
-            f"{folder}/ledger/batch_id={batch_id}"
-        )
+        with staging_scope(spark):
+            fresh = batch.select("message_id", "raw")
+            nothing = spark.createDataFrame([], LEDGER)
+            result = scan_raw(fresh, nothing, snapshots(spark), params, moment)
+            for table in TABLES:
+                getattr(result, table).write.mode("overwrite").parquet(
+                    f"{folder}/{table}/batch_id={batch_id}"
+                )
+            result.marks(moment).write.mode("overwrite").parquet(f"{folder}/ledger/batch_id={batch_id}")
         threats = spark.read.parquet(f"{folder}/threats/batch_id={batch_id}")
         merge_recent_threats(threats, f"{folder}/recent_threats", batch_id, params.max_recent_threats)
+        add_counters(threats, f"{folder}/counters", batch_id)
 
     return write
 
 
 def start_scan(
     stream: DataFrame,
-    event_time: str,
     folder: str,
     snapshots: Callable[[SparkSession], Snapshots],
     params: ScanParams,
     as_of: Callable[[], Column] = _now,
     drain: bool = False,
-    delay: str = "1 day",
 ) -> StreamingQuery | None:
-    """Scan ``message_id, raw, <event_time>`` at the configured interval.
+    """Scan ``message_id, raw`` at the configured interval.
 
-    ``drain`` processes what is there and ends. Nothing starts when
+    Every message is scanned once, also one that arrives late or again. ``drain`` processes what is there and ends. Nothing starts when
     ``auto_start_scan`` is off.
     """
     if not params.auto_start_scan:
@@ -102,8 +94,9 @@ def start_scan(
         if drain
         else {"processingTime": f"{params.scan_interval_seconds} seconds"}
     )
+    stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", _STATE_STORE)
     return (
-        first_deliveries(stream, event_time, delay)
+        first_deliveries(stream)
         .writeStream.foreachBatch(batch_writer(folder, snapshots, params, as_of))
         .option("checkpointLocation", f"{folder}/checkpoint")
         .trigger(**trigger)

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from mailassay.operators.state import recent_threats, scan_counters
-from mailassay.schemas import THREAT
+from mailassay.schemas import COUNTERS, THREAT
+from mailassay.session import child_names, delete_path
 
 
 def start_counters(threats: DataFrame, name: str, checkpoint: str, drain: bool = False) -> StreamingQuery:
@@ -22,25 +23,41 @@ def start_counters(threats: DataFrame, name: str, checkpoint: str, drain: bool =
     return (writer.trigger(availableNow=True) if drain else writer).start()
 
 
-def _latest_version(threats: DataFrame, folder: str, before: int) -> DataFrame:
-    """The ring as the last earlier batch left it."""
-    spark = threats.sparkSession
-    try:
-        versions = spark.read.schema(f"{THREAT}, batch_id BIGINT").parquet(folder)
-    except Exception:  # nothing written yet
-        return spark.createDataFrame([], THREAT)
-    earlier = versions.filter(F.col("batch_id") < before)
-    latest = earlier.agg(F.max("batch_id")).scalar()
-    return earlier.filter(F.col("batch_id") == latest).drop("batch_id")
+def _versions(spark: SparkSession, folder: str) -> list[int]:
+    """Batches that left a version in ``folder``, in ascending order."""
+    return sorted(int(name.split("=")[1]) for name in child_names(spark, folder) if name.startswith("batch_id="))
+
+
+def _previous(spark: SparkSession, folder: str, batch_id: int, schema: str) -> DataFrame:
+    """The version that the last earlier batch left; read by its path alone."""
+    earlier = [v for v in _versions(spark, folder) if v < batch_id]
+    if not earlier:
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(f"{folder}/batch_id={earlier[-1]}")
+
+
+def _replace_versions(table: DataFrame, folder: str, batch_id: int) -> None:
+    """Write version ``batch_id`` and drop all but the one it was made from."""
+    spark = table.sparkSession
+    table.coalesce(1).write.mode("overwrite").parquet(f"{folder}/batch_id={batch_id}")
+    for old in [v for v in _versions(spark, folder) if v < batch_id][:-1]:
+        delete_path(spark, f"{folder}/batch_id={old}")
+
+
+def add_counters(threats: DataFrame, folder: str, batch_id: int) -> None:
+    """Write ``total_scanned, total_blocked`` of all batches up to this one: one row."""
+    before = _previous(threats.sparkSession, folder, batch_id, COUNTERS)
+    total = before.unionByName(scan_counters(threats)).agg(
+        *(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("total_scanned", "total_blocked"))
+    )
+    _replace_versions(total, folder, batch_id)
 
 
 def merge_recent_threats(threats: DataFrame, folder: str, batch_id: int, keep: int = 10) -> None:
     """Write version ``batch_id`` of the last ``keep`` threats: the version before plus this batch.
 
-    Reads only versions of earlier batches, so trying a batch again gives the same ring.
+    Reads only the version of the batch before, so trying a batch again gives the same ring.
     """
     columns = [f.strip().split(" ")[0] for f in THREAT.split(",")]
-    ring = _latest_version(threats, folder, batch_id).unionByName(threats.select(columns))
-    recent_threats(ring, keep).coalesce(1).write.mode("overwrite").parquet(
-        f"{folder}/batch_id={batch_id}"
-    )
+    ring = _previous(threats.sparkSession, folder, batch_id, THREAT).unionByName(threats.select(columns))
+    _replace_versions(recent_threats(ring, keep), folder, batch_id)

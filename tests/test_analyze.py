@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from mailassay.operators import decision, headers
 from mailassay.operators.outputs import alert_outbox, alert_text, label_actions, report_json
+from mailassay.operators.parse import parse_messages, parsed_only
 from mailassay.params import LookupPolicy, ScanParams
 from mailassay.plans.analyze import Snapshots, analyze_messages
 from mailassay.plans.scan import scan_raw
@@ -172,7 +173,7 @@ def test_scan_outputs(spark):
     assert (alert["message_id"], alert["sender"]) == ("q", "s@fake.example")
     text = result.alerts.select(alert_text(result.alerts)).first()[0]
     assert "<code>&lt;b&gt;x&lt;/b&gt;</code>" in text and text.endswith("2024-02-01 00:00:00 UTC\n")
-    assert {r["message_id"] for r in result.ledger.collect()} == {"old", "q", "w", "p"}
+    assert {r["message_id"] for r in result.ledger.collect()} == {"old", "q", "w", "p", "lost"}
     assert [r["message_id"] for r in result.failures.collect()] == ["lost"]
     report = json.loads(report_json(result.reports).filter("message_id = 'q'").first()["report"])
     assert {"analyzed_at", "verdict", "action", "risk_score", "breakdown", "nlp", "details"} <= set(report)
@@ -180,6 +181,61 @@ def test_scan_outputs(spark):
     assert label_actions(result.reports, ScanParams()).count() == 1
 
 
+def test_equal_and_missing_ids_lose_nothing(spark):
+    raw = spark.createDataFrame(
+        [("a", bytearray(RAW["q"])), ("a", bytearray(RAW["p"])), ("a", bytearray(RAW["p"])),
+         (None, bytearray(RAW["w"])), (None, None), ("b", bytearray(RAW["w"]))],
+        "message_id STRING, raw BINARY")
+    verdicts = spark.createDataFrame([("http://bad.example/", '{"verdicts":{"overall":{"malicious":true}}}')], PAGE_VERDICTS)
+    result = scan_raw(raw, spark.createDataFrame([], LEDGER), Snapshots(no_dns(spark), page_verdicts=verdicts), ScanParams(), as_of())
+    got = sorted((r["message_id"], r["verdict"]) for r in result.reports.collect())
+    assert got == [("a", "PASS"), ("a", "PASS"), ("a", "QUARANTINE"), ("b", "WARN")]
+    assert [r["message_id"] for r in result.failures.collect()] == [None, None]
+    assert {r["message_id"] for r in result.ledger.collect()} == {"a", "b"}
+    parsed = parsed_only(parse_messages(raw))
+    assert analyze_messages(parsed, Snapshots(no_dns(spark)), ScanParams(), as_of()).count() == 5
+
+
+def test_one_answer_per_message_and_page(spark):
+    rows = {"m": ("n@u.example", "", [("text/plain", "acil http://bad.example/")])}
+    answer = lambda p: json.dumps([[{"label": "SPAM", "score": p}]])
+    timed = spark.createDataFrame(
+        [("m", answer(0.1), 1), ("m", answer(0.95), 2), ("m", answer(0.5), 0)], "message_id STRING, response_json STRING, observed_at INT")
+    pages = spark.createDataFrame(
+        [("http://bad.example/", '{"verdicts":{"overall":{"malicious":true,"score":1}}}'),
+         ("http://bad.example/", '{"verdicts":{"overall":{"malicious":false,"score":9}}}')], PAGE_VERDICTS)
+    for scores, boost in ((timed, 20), (timed.drop("observed_at"), 20)):
+        reports = analyze_messages(
+            messages(spark, rows), Snapshots(no_dns(spark), remote_scores=scores), ScanParams(nlp_provider="remote_api"), as_of()).collect()
+        assert [r["nlp"]["nlp_boost"] for r in reports] == [boost]
+    (report,) = analyze_messages(messages(spark, rows), Snapshots(no_dns(spark), page_verdicts=pages), ScanParams(), as_of()).collect()
+    assert report["details"]["urls"]["url_risk_score"] == 40
+
+
+def test_what_a_scan_asks_for(spark):
+    """URLs without a reputation, and masked texts of grey messages only."""
+    raw = spark.createDataFrame(
+        [("grey", bytearray(b"From: s@some.example\r\n\r\nacil mail me at jo@mail.example http://new.example/?utm_source=x")),
+         ("fine", bytearray(b"From: s@some.example\r\nDKIM-Signature: v=1\r\n\r\nhttp://other.example/"))],
+        "message_id STRING, raw BINARY")
+    result = scan_raw(raw, spark.createDataFrame([], LEDGER), Snapshots(no_dns(spark)), ScanParams(nlp_provider="remote_api"), as_of())
+    asked = {r["normalized_url"] for r in result.lookup_requests.collect()}
+    assert "http://new.example" in asked
+    texts = {r["message_id"]: r["text"] for r in result.outbound_texts.collect()}
+    assert set(texts) == {"grey"} and "jo@mail.example" not in texts["grey"] and "acil" in texts["grey"]
+    assert scan_raw(raw, spark.createDataFrame([], LEDGER), Snapshots(no_dns(spark)), ScanParams(), as_of()).outbound_texts.count() == 0
+
+
+def test_report_json_keeps_nulls(spark):
+    reports = analyze_messages(messages(spark, {"one": ("n@u.example", "", [("text/plain", "acil")])}), Snapshots(no_dns(spark)), ScanParams(), as_of())
+    report = json.loads(report_json(reports).first()["report"])
+    assert report["nlp"]["nlp_score"] is None and "nlp_score" in report["nlp"]
+    assert "whitelist_hit" not in report["details"] and report["risk_score"] == 42
+    safe = ScanParams(whitelist_domains=("u.example",))
+    trusted = json.loads(report_json(analyze_messages(messages(spark, {"one": ("n@u.example", "", [])}), Snapshots(no_dns(spark)), safe, as_of())).first()["report"])
+    assert trusted["details"] == {"whitelist_hit": True, "sender_domain": "u.example"} and "nlp" not in trusted
+
+
 def test_settings():
     params = ScanParams.from_settings(
         {"risk_threshold": 70, "nlp_provider": " Remote_API ", "whitelist_domains": ["A.example "], "urlscan_api_key": "k",

@@ -63,7 +63,14 @@ def test_time_to_live_and_points(spark):
     silent = links.score_urls(urls, "url", off, as_of(), None, observations(spark, rows), verdicts)
     assert {r["url_risk"] for r in silent.collect()} == {0}
     asked = links.urls_to_refresh(urls.withColumnRenamed("url", "final_url"), observations(spark, rows), as_of(), 86_400)
-    assert {r["normalized_url"].split("/")[-1].split("?")[0] for r in asked.collect()} == {"older", "future"}
+    assert {r["normalized_url"].split("/")[-1].split("?")[0] for r in asked.collect()} == {"older", "future", "limit"}
+
+
+def test_a_failed_refresh_hides_nothing(spark):
+    rows = [("http://a.example/x", 200, 9, 0, 500), ("http://a.example/x", 429, None, None, 5), ("http://a.example/x", 500, None, None, 1)]
+    urls = spark.createDataFrame([("http://a.example/x",)], "url STRING")
+    rated = links.score_urls(urls, "url", ScanParams(), as_of(), None, observations(spark, rows), None)
+    assert rated.first()["url_risk"] == 50
 
 
 def test_first_urls_of_one_huge_message(spark):

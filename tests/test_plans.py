@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from mailassay.operators import classifier, links, state
 from mailassay.operators.headers import domain_authentication
-from mailassay.plans.analyze import Snapshots, analyze_messages
+from mailassay.plans.analyze import analyze_messages, message_features
 from mailassay.session import stage_table
 from mailassay.sources.mailbox import unread_page
 from workload import decide, inputs, mail, masks
@@ -46,22 +46,16 @@ def test_parser_reads_two_columns_in_one_stage(spark, sf):
     assert "Exchange" not in text and text.count("MapInArrow") >= 1
 
 
-def test_messages_are_shuffled_once_and_without_their_text(spark, sf):
+def test_no_text_is_shuffled_and_urls_are_rated_once(spark, sf):
     messages = stage_table(inputs.messages(spark, sf), "messages")
     given = inputs.snapshots(spark, sf)
-    staged = Snapshots(
-        stage_table(given.dns_txt, "snapshot"),
-        reputation=stage_table(given.reputation, "snapshot"),
-        page_verdicts=stage_table(given.page_verdicts, "snapshot"),
-    )
-    text = plan(analyze_messages(messages, staged, decide.PARAMS, inputs.as_of()))
+    text = plan(analyze_messages(messages, given, decide.PARAMS, inputs.as_of()))
     blocks = [b for b in re.split(r"\n(?=\(\d+\) )", text) if re.match(r"\(\d+\) Exchange", b)]
-    by_message = [b for b in blocks if "hashpartitioning(message_id#" in b]
-    assert len(by_message) == 1
-    assert not any(re.search(r"\b(body|parts|urls)#", b) for b in by_message)
-    # the others belong to the lookup tables: one each
-    assert len(blocks) == 1 + 3
-    assert text.count("BroadcastHashJoin LeftOuter BuildRight") >= 3
+    assert blocks and not any(re.search(r"\b(body|parts|urls|visible)#", b) for b in blocks)
+    # per message: one row of ratings, and at most the scores to join them to
+    assert not any("hashpartitioning(message_id#" in b for b in blocks)
+    features = message_features(messages, decide.PARAMS)
+    assert not {"body", "parts"} & set(features.columns)
 
 
 def test_reputation_filter_reaches_the_scan(spark, sf):

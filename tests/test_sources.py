@@ -1,6 +1,7 @@
 import base64
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from mailassay.schemas import LEDGER
@@ -83,3 +84,25 @@ def test_csv_feed_without_label_or_url(spark, tmp_path):
     down = csv_feed(spark, tmp_path, "website_url,Online\nhttp://a.example,no\nhttp://b.example,\n")
     assert feeds.feed_entries_csv(down).count() == 2
     assert feeds.feed_entries_csv(csv_feed(spark, tmp_path, "link\nhttp://a.example\n")).count() == 0
+
+
+def test_csv_with_quotes_and_line_breaks(spark, tmp_path):
+    path = tmp_path / "feed.csv"
+    path.write_text('url,target\n"http://a.example/","Big ""Bank"", Ltd"\nhttp://b.example/,"two\nlines"\nhttp://c.example/,plain\n', encoding="utf-8")
+    rows = {r["url"]: r["target"] for r in feeds.read_feed_csv(spark, str(path)).collect()}
+    assert rows == {"http://a.example/": 'Big "Bank", Ltd', "http://b.example/": "two\nlines", "http://c.example/": "plain"}
+
+
+def test_ledger_with_repeated_ids_and_without_bound(spark, tmp_path):
+    page = spark.createDataFrame([("a",), ("b",)], "message_id STRING")
+    ledger = spark.createDataFrame([("a", None), ("a", None), ("z", None)], "message_id STRING, scanned_at TIMESTAMP")
+    row = mailbox.backlog_signal(page, ledger, 2).first()
+    assert (row["refs"], row["skipped"], row["fresh"], row["saturated"]) == (2, 1, 1, True)
+    assert mailbox.bounded_ledger(ledger, ledger, None).count() == 2
+    assert mailbox.bounded_ledger(ledger, ledger, 1).count() == 1
+    assert mailbox.read_ledger(spark, str(tmp_path / "none")).count() == 0
+    broken = tmp_path / "broken"
+    broken.mkdir()
+    (broken / "part-0.parquet").write_text("this is no table")
+    with pytest.raises(Exception):
+        mailbox.read_ledger(spark, str(broken)).count()

@@ -1,3 +1,4 @@
+import os
 from datetime import datetime, timezone
 
 import pytest
@@ -7,6 +8,7 @@ from mailassay.operators import state
 from mailassay.params import ScanParams
 from mailassay.plans.analyze import Snapshots
 from mailassay.schemas import DNS_TXT, THREAT
+from mailassay.session import shared_folder
 from mailassay.streaming.scan import batch_writer, read_output, start_scan
 from mailassay.streaming.stats import merge_recent_threats, start_counters
 from workload.inputs import as_of
@@ -31,7 +33,7 @@ def stream(spark, folder):
 
 
 def drain(spark, source, out):
-    query = start_scan(stream(spark, source), "received_at", str(out), snapshots, PARAMS, as_of, drain=True)
+    query = start_scan(stream(spark, source), str(out), snapshots, PARAMS, as_of, drain=True)
     query.awaitTermination()
 
 
@@ -51,19 +53,41 @@ def test_redelivered_messages_are_scanned_once(spark, tmp_path):
     assert sorted(r["message_id"] for r in ring.filter(F.col("batch_id") == last).collect()) == ["a", "b", "c"]
 
 
+def test_late_messages_are_scanned(spark, tmp_path):
+    """Each drain brings an older message than the one before, and one without an id."""
+    source, out = tmp_path / "in", tmp_path / "out"
+    for day, name in ((10, "c"), (1, "a"), (2, "b")):
+        rows = [(name, bytearray(BLOCKED), datetime(2024, 2, day, tzinfo=timezone.utc)),
+                (None, bytearray(BLOCKED + name.encode()), datetime(2024, 2, day, tzinfo=timezone.utc))]
+        spark.createDataFrame(rows, "message_id STRING, raw BINARY, received_at TIMESTAMP").coalesce(1).write.parquet(f"{source}/{name}")
+        drain(spark, source, out)
+    assert sorted(r["message_id"] for r in read_output(spark, str(out), "reports").collect()) == ["a", "b", "c"]
+    assert read_output(spark, str(out), "failures").count() == 3
+    (total,) = spark.read.parquet(f"{out}/counters/batch_id=2").collect()
+    assert tuple(total) == (3, 3)
+
+
 def test_a_repeated_batch_changes_nothing(spark, tmp_path):
+    staged = set(os.listdir(shared_folder(spark)))
     write = batch_writer(str(tmp_path), snapshots, PARAMS, as_of)
-    batch = spark.createDataFrame([("a", bytearray(BLOCKED)), ("lost", None)], "message_id STRING, raw BINARY")
-    for number in (0, 0, 1, 1):
+    for number in (0, 0, 1, 1, 2):
+        batch = spark.createDataFrame([(f"a{number}", bytearray(BLOCKED)), (f"lost{number}", None)], "message_id STRING, raw BINARY")
         write(batch, number)
-    assert [r["message_id"] for r in read_output(spark, str(tmp_path), "reports").collect()] == ["a"]
-    assert sorted(r["message_id"] for r in read_output(spark, str(tmp_path), "ledger").collect()) == ["a", "lost"]
-    assert [r["message_id"] for r in read_output(spark, str(tmp_path), "failures").collect()] == ["lost"]
+    ids = lambda table: sorted(r["message_id"] for r in read_output(spark, str(tmp_path), table).collect())
+    assert ids("reports") == ["a0", "a1", "a2"]
+    assert ids("ledger") == ["a0", "a1", "a2", "lost0", "lost1", "lost2"]
+    assert ids("failures") == ["lost0", "lost1", "lost2"]
+    assert ids("threats") == ["a0", "a1", "a2"]
+    # running tables keep two versions, and nothing that was staged is left
+    for table in ("counters", "recent_threats"):
+        assert sorted(os.listdir(tmp_path / table)) == ["batch_id=1", "batch_id=2"]
+    assert [tuple(r) for r in spark.read.parquet(f"{tmp_path}/counters/batch_id=2").collect()] == [(3, 3)]
+    assert set(os.listdir(shared_folder(spark))) <= staged
 
 
 def test_switched_off(spark, tmp_path):
     off = ScanParams(auto_start_scan=False)
-    assert start_scan(None, "received_at", str(tmp_path), snapshots, off) is None
+    assert start_scan(None, str(tmp_path), snapshots, off) is None
 
 
 def threat(i, verdict="QUARANTINE"):

@@ -28,7 +28,7 @@ def stream_scan(spark, sf):
     arrived = raw.withColumn("received_at", inp.as_of() + F.make_interval(secs=F.col("message_id").cast("int") % 3600))
     folder = _scratch(spark, "stream-scan")
     start_scan(
-        arrived, "received_at", folder, lambda s: inp.snapshots(s, sf), PARAMS, inp.as_of, drain=True
+        arrived, folder, lambda s: inp.snapshots(s, sf), PARAMS, inp.as_of, drain=True
     ).awaitTermination()
     return read_output(spark, folder, "reports").select("message_id", "verdict", "action", "risk_score")
 
@@ -37,7 +37,7 @@ def stream_dedup(spark, sf):
     """Every event arrives twice; each counts once."""
     twice = _stream(spark, sf, "events").withColumn("copy", F.explode(F.array(F.lit(1), F.lit(2))))
     once = first_deliveries(
-        twice.select(F.col("event_id").alias("message_id"), "event_type", "ts"), "ts", "1 day"
+        twice.select(F.col("event_id").alias("message_id"), "event_type", "ts")
     )
     folder = _scratch(spark, "stream-dedup")
     once.writeStream.format("parquet").option("path", f"{folder}/out").option(
