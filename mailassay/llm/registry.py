@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from mailassay.llm.bpe import op13_contiguous_rank_array
 from mailassay.llm.compression import op1_compression_bands
 from mailassay.llm.cotraining import op5_co_training
 from mailassay.llm.cross_entropy import ORACLE as CROSS_ENTROPY_SQL
@@ -27,6 +28,7 @@ QUERIES = {
         op8_pivotal_rounding,
         op9_structural_confirmation,
         op10_hypergeometric_shuffle,
+        op13_contiguous_rank_array,
     )
 }
 
