@@ -10,6 +10,7 @@ from mailassay.llm.cross_entropy import op3_cross_entropy_difference
 from mailassay.llm.language import op4_language_bitmask
 from mailassay.llm.licenses import op6_diagonal_voting
 from mailassay.llm.pivotal import op8_pivotal_rounding
+from mailassay.llm.prefix_trie import op12_depth_band_rollup
 from mailassay.llm.secret_scan import op9_structural_confirmation
 from mailassay.llm.sharding import op10_hypergeometric_shuffle
 from mailassay.llm.simhash import op2_vantage_point_trees
@@ -28,6 +29,7 @@ QUERIES = {
         op8_pivotal_rounding,
         op9_structural_confirmation,
         op10_hypergeometric_shuffle,
+        op12_depth_band_rollup,
         op13_contiguous_rank_array,
     )
 }
