@@ -68,8 +68,8 @@ def plain_names(docs: DataFrame) -> DataFrame:
 
 
 def restored(docs: DataFrame, skip: tuple[str, ...] = ()) -> list[Column]:
-    """The columns of ``plain_names(docs)`` under their own names, but for ``skip``."""
-    return [F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns) if c not in skip]
+    """The columns of ``plain_names(docs)`` under their own names, but for ``skip``, in whatever case."""
+    return [F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns) if c.lower() not in skip]
 
 
 def attach(docs: DataFrame, answers: DataFrame, copies: str | None = None) -> DataFrame:

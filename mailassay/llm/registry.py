@@ -7,6 +7,8 @@ from mailassay.llm.compression import op1_compression_bands
 from mailassay.llm.cotraining import op5_co_training
 from mailassay.llm.cross_entropy import ORACLE as CROSS_ENTROPY_SQL
 from mailassay.llm.cross_entropy import op3_cross_entropy_difference
+from mailassay.llm.hard_negatives import ORACLE as HARD_NEGATIVES_SQL
+from mailassay.llm.hard_negatives import op11_residue_number_gemm
 from mailassay.llm.language import op4_language_bitmask
 from mailassay.llm.licenses import op6_diagonal_voting
 from mailassay.llm.pivotal import op8_pivotal_rounding
@@ -29,9 +31,13 @@ QUERIES = {
         op8_pivotal_rounding,
         op9_structural_confirmation,
         op10_hypergeometric_shuffle,
+        op11_residue_number_gemm,
         op12_depth_band_rollup,
         op13_contiguous_rank_array,
     )
 }
 
-ORACLES: dict[str, str] = {"op3_cross_entropy_difference": CROSS_ENTROPY_SQL}
+ORACLES: dict[str, str] = {
+    "op3_cross_entropy_difference": CROSS_ENTROPY_SQL,
+    "op11_residue_number_gemm": HARD_NEGATIVES_SQL,
+}

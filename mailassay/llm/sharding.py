@@ -110,7 +110,7 @@ def assign(rows: DataFrame, policy: ShardPolicy) -> DataFrame:
     return (
         placed.withColumn("rank", F.row_number().over(second))
         .join(starts, ["shard", "cell"])
-        .withColumn("slot", (F.col("start") + F.col("rank") - 1).cast("int"))
+        .withColumn("slot", (F.col("start") + F.col("rank") - 1).cast("bigint"))
         .drop("start", "rank", "number", "cell")
     )
 
@@ -123,7 +123,7 @@ def numbered(rows: DataFrame, name: str) -> DataFrame:
 
 
 def shard_documents(docs: DataFrame, policy: ShardPolicy = ShardPolicy()) -> DataFrame:
-    """All columns of ``docs`` with ``shard`` and ``slot``, which replace columns of that name."""
+    """All columns of ``docs`` with ``shard`` and ``slot``, which replace columns of that name in any case."""
     kept = numbered(plain_names(docs), "documents-to-shard")
     placed = assign(kept.select("part", "row"), policy).select(F.col("row").alias("placed_row"), "shard", "slot")
     return kept.join(placed, F.col("row") == F.col("placed_row")).select(

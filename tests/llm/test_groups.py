@@ -310,6 +310,16 @@ def test_copies_are_taken(spark):
 # --- sharding
 
 
+def test_shard_columns_are_typed_and_replace_any_case(spark, sf, tmp_path):
+    kinds = dict(sharding.op10_hypergeometric_shuffle(spark, sf).dtypes)
+    assert (kinds["shard"], kinds["slot"], kinds["grown_shard"]) == ("int", "bigint", "int")
+    docs = spark.createDataFrame([(1, "a", "x", 2), (2, "b", "y", 3)], "doc_id BIGINT, text STRING, Shard STRING, SLOT INT")
+    placed = sharding.shard_documents(docs, sharding.ShardPolicy(shards=2))
+    placed.write.parquet(f"{tmp_path}/out")
+    assert spark.read.parquet(f"{tmp_path}/out").dtypes == [
+        ("doc_id", "bigint"), ("text", "string"), ("shard", "int"), ("slot", "bigint")]
+
+
 def test_matrix_has_exact_margins_and_the_right_mean():
     places = sharding.shard_sizes(1003, 7)
     assert sum(places) == 1003 and max(places) - min(places) == 1
