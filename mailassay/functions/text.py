@@ -5,27 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from mailassay.functions.markup import decode_references
+
 # letters, numbers and underscore: Java's own \w would also take combining marks
 WORD = r"\p{L}\p{N}_"
 
-# named references decoded by the native HTML chain; "&amp;" comes last so that
-# "&amp;lt;" ends as the text "&lt;"
-NAMED_REFERENCES = {
-    "&lt;": "<",
-    "&gt;": ">",
-    "&quot;": '"',
-    "&apos;": "'",
-    "&nbsp;": " ",
-    "&copy;": "©",
-    "&reg;": "®",
-    "&middot;": "·",
-    "&hellip;": "…",
-    "&ndash;": "–",
-    "&mdash;": "—",
-    "&euro;": "€",
-    "&amp;": "&",
-}
-
 # Every pattern below reads each character a bounded number of times, also in
 # hostile input: what is never closed runs to the end or ends at the next tag.
 _SILENT_ELEMENTS = (
@@ -53,11 +37,8 @@ def html_to_text(html: Column) -> Column:
     marked = F.regexp_replace(marked, _COMMENTS_AND_TAGS, "\u0001")
 
     def node_text(node: Column) -> Column:
-        text = node
-        for reference, character in NAMED_REFERENCES.items():
-            text = F.replace(text, F.lit(reference), F.lit(character))
         return (
-            F.when(F.contains(node, F.lit("&")), text)
+            F.when(F.contains(node, F.lit("&")), decode_references(node))
             .when(F.btrim(node, F.lit(" \n\t\f\r")) != "", node)
             .when(F.contains(node, F.lit("\n")), F.lit("\n"))
             .otherwise(F.lit(" "))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from mailassay.functions.markup import decode_references
 from mailassay.functions.text import TAG_REST
 from mailassay.lexicon import TRACKING_KEYS, URL_PATTERN
 
@@ -21,7 +22,7 @@ def _attribute(tag: Column, name: str) -> Column:
     """Value of an attribute; null when absent."""
     pattern = _ATTRIBUTE.format(name=name)
     value = F.concat(*(F.regexp_extract(tag, pattern, group) for group in (1, 2, 3)))
-    return F.when(tag.rlike(pattern), F.replace(value, F.lit("&amp;"), F.lit("&")))
+    return F.when(tag.rlike(pattern), decode_references(value))
 
 
 def link_attributes(html: Column) -> Column:

@@ -6,16 +6,15 @@ the partitions of the input; there is no shuffle. Everything after it is native.
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from email import message_from_bytes
 from email.header import decode_header
-from html.parser import HTMLParser
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from mailassay.functions.markup import VisibleText
 from mailassay.lexicon import NO_SENDER, NO_SUBJECT
 from mailassay.schemas import PARSED_MESSAGE
 
@@ -41,66 +40,6 @@ _ARROW_SCHEMA = pa.schema(
     ]
 )
 
-_VOID = frozenset(
-    "area base br col embed hr img input link meta param source track wbr".split()
-)
-_SILENT = frozenset(("script", "style", "template", "rt", "rp"))
-
-
-class VisibleText(HTMLParser):
-    """Collects visible text nodes and the link attributes of one HTML text."""
-
-    def __init__(self) -> None:
-        super().__init__(convert_charrefs=True)
-        self.nodes: list[str] = []
-        self.links: list[str] = []
-        self._open: list[str] = []
-        self._depth: Counter[str] = Counter()
-        self._hidden = 0  # open elements whose text is not shown
-        self._run: list[str] = []
-
-    def handle_data(self, data: str) -> None:
-        self._run.append(data)
-
-    def _end_node(self, *_) -> None:
-        node, self._run = "".join(self._run), []
-        if node and not self._hidden:
-            if not node.strip(" \n\t\f\r"):
-                node = "\n" if "\n" in node else " "
-            self.nodes.append(node)
-
-    handle_comment = handle_decl = handle_pi = unknown_decl = _end_node
-
-    def handle_starttag(self, tag: str, attrs: list) -> None:
-        self._end_node()
-        if tag in ("a", "button", "form"):
-            values = dict(attrs)
-            link = values.get("href") or values.get("action") or ""
-            if link.startswith("http"):
-                self.links.append(link)
-        if tag not in _VOID:
-            self._open.append(tag)
-            self._depth[tag] += 1
-            self._hidden += tag in _SILENT
-
-    def handle_startendtag(self, tag: str, attrs: list) -> None:
-        self.handle_starttag(tag, attrs)
-        self.handle_endtag(tag)
-
-    def handle_endtag(self, tag: str) -> None:
-        self._end_node()
-        closed = None
-        while closed != tag and self._depth[tag]:
-            closed = self._open.pop()
-            self._depth[closed] -= 1
-            self._hidden -= closed in _SILENT
-
-    def finish(self) -> str:
-        self.close()
-        self._end_node()
-        return " ".join(self.nodes)
-
-
 def _chunks(value, unknown_charset: str | None) -> str:
     text = []
     for chunk, charset in decode_header(value):
@@ -136,20 +75,6 @@ def _clean(value):
     return value
 
 
-def closes_its_tags(html: str, budget: int = 30_000_000) -> bool:
-    """Can the standard parser read this text in reasonable time?
-
-    It rescans the rest of the text for every tag or comment that is never
-    closed, which a hostile message can use to block a task. A text that would
-    cost more than ``budget`` characters goes without exact results, and the
-    native expressions, whose cost is linear, take their place.
-    """
-    unclosed = max(
-        html.count("<") - html.count(">"), html.count("<!") - html.count("-->"), html.count("<?")
-    )
-    return len(html) * unclosed <= budget
-
-
 def parse_one(message_id: str, raw: bytes) -> dict:
     message = message_from_bytes(raw)
     parts = []
@@ -160,7 +85,7 @@ def parse_one(message_id: str, raw: bytes) -> dict:
         text = payload.decode("utf-8", errors="ignore")
         kind = _clean(part.get_content_type())
         visible = links = None
-        if kind == "text/html" and closes_its_tags(text):
+        if kind == "text/html":
             reader = VisibleText()
             reader.feed(text)
             visible, links = reader.finish(), reader.links
