@@ -6,7 +6,9 @@ of bounded size and aggregated. Training uses Spark ML.
 
 from __future__ import annotations
 
+import math
 import uuid
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.ml.classification import LogisticRegression
@@ -77,11 +79,48 @@ def exploded_counts(texts: DataFrame, doc_id: str, text: str) -> DataFrame:
     )
 
 
-def fit_vocabulary(texts: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def count_statistics(counts: DataFrame, doc_id: str = "doc_id") -> DataFrame:
+    """``term, df, cf`` of documents' counts (``doc_id, counts``); the null term has the number of documents.
+
+    Statistics of two sets of documents are added up by ``merge_statistics``.
+    """
+    terms = (
+        counts.select(F.explode_outer("counts").alias("t"))
+        .filter(F.col("t").isNotNull())
+        .groupBy("t.term")
+        .agg(F.count(F.lit(1)).alias("df"), F.sum("t.tf").cast("bigint").alias("cf"))
+    )
+    size = counts.agg(F.count(F.lit(1)).alias("df")).select(
+        F.lit(None).cast("string").alias("term"), "df", F.lit(0).cast("bigint").alias("cf")
+    )
+    return terms.unionByName(size)
+
+
+def merge_statistics(statistics: DataFrame) -> DataFrame:
+    """One row per term of any number of statistics, one after the other in one table."""
+    return statistics.groupBy("term").agg(F.sum("df").alias("df"), F.sum("cf").alias("cf"))
+
+
+def vocabulary_of(statistics: DataFrame, max_terms: int | None = None) -> DataFrame:
+    """Vocabulary ``term_id, term, df, cf, idf`` of merged statistics: a top-k, ties by term."""
+    n_docs = statistics.filter(F.col("term").isNull()).agg(F.coalesce(F.sum("df"), F.lit(0))).scalar()
+    frequent = statistics.filter(F.col("term").isNotNull()).orderBy(F.desc("cf"), "term").limit(max_terms or MAX_TERMS)
+    # at most max_terms rows: one window over them numbers the terms
+    number = F.row_number().over(Window.orderBy("term"))
+    return frequent.select(
+        number.alias("term_id"),
+        "term",
+        "df",
+        "cf",
+        (F.log((1.0 + n_docs) / (1.0 + F.col("df"))) + 1.0).alias("idf"),
+    )
+
+
+def fit_vocabulary(texts: DataFrame, doc_id: str = "doc_id", text: str = "text", max_terms: int | None = None) -> DataFrame:
     """Vocabulary ``term_id, term, df, cf, idf``: the most frequent terms, ties by term.
 
     One aggregation by term, combined before the shuffle; the cut at
-    ``MAX_TERMS`` is a top-k, so the result is bounded whatever the corpus.
+    ``max_terms`` is a top-k, so the result is bounded whatever the corpus.
     """
     n_docs = texts.agg(F.count(F.lit(1))).scalar()
     frequent = (
@@ -89,9 +128,9 @@ def fit_vocabulary(texts: DataFrame, doc_id: str = "doc_id", text: str = "text")
         .groupBy("term")
         .agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
         .orderBy(F.desc("cf"), "term")
-        .limit(MAX_TERMS)
+        .limit(max_terms or MAX_TERMS)
     )
-    # at most MAX_TERMS rows: one window over them numbers the terms
+    # at most max_terms rows: one window over them numbers the terms
     number = F.row_number().over(Window.orderBy("term"))
     return frequent.select(
         number.alias("term_id"),
@@ -106,9 +145,13 @@ def tfidf(
     texts: DataFrame, vocabulary: DataFrame, doc_id: str = "doc_id", text: str = "text"
 ) -> DataFrame:
     """L2-normalised weights ``doc_id, term_id, term, weight``."""
+    return weights_of(exploded_counts(texts, doc_id, text), vocabulary, doc_id)
+
+
+def weights_of(counts: DataFrame, vocabulary: DataFrame, doc_id: str = "doc_id") -> DataFrame:
+    """The same for counts that are there already (``doc_id, term, tf``)."""
     weighted = (
-        exploded_counts(texts, doc_id, text)
-        .join(F.broadcast(vocabulary.select("term_id", "term", "idf")), "term")
+        counts.join(F.broadcast(vocabulary.select("term_id", "term", "idf")), "term")
         .select(doc_id, "term_id", "term", ((1.0 + F.log("tf")) * F.col("idf")).alias("w"))
     )
     # a document has at most MAX_TERMS rows here
@@ -136,17 +179,28 @@ def _libsvm_rows(weights: DataFrame, texts: DataFrame) -> DataFrame:
     )
 
 
-def train(texts: DataFrame) -> Model:
-    """Fit on ``doc_id, text, label``: C = 1, balanced classes, at most 1000 iterations.
+def train(texts: DataFrame, max_terms: int | None = None) -> Model:
+    """Fit on ``doc_id, text, label``; see ``fit``. Texts without a label take no part."""
+    texts = texts.filter(F.col("label").isNotNull())
+    vocabulary = stage_table(fit_vocabulary(texts, max_terms=max_terms), "vocabulary")
+    return fit(texts.select("doc_id", "label"), lambda: tfidf(texts, vocabulary), vocabulary)
+
+
+def fit(labels: DataFrame, weights: Callable[[], DataFrame], vocabulary: DataFrame) -> Model:
+    """Logistic regression: C = 1, balanced classes, at most 1000 iterations.
 
     The sparse rows are written once, in the text format that Spark ML reads,
-    and the iterations run on that table.
+    and the iterations run on that table. Where there is nothing to tell apart,
+    with no texts, one class or no terms, the model is the prior alone: see
+    ``prior_model``.
     """
-    spark = texts.sparkSession
-    vocabulary = stage_table(fit_vocabulary(texts), "vocabulary")
+    spark = labels.sparkSession
     size = vocabulary.count()
+    classes = {r["label"]: r["count"] for r in labels.groupBy("label").count().collect()}
+    if size == 0 or len(classes) < 2:
+        return prior_model(vocabulary, classes)
     path = f"{shared_folder(spark)}/training-rows-{uuid.uuid4().hex}"
-    _libsvm_rows(tfidf(texts, vocabulary), texts).write.text(path)
+    _libsvm_rows(weights(), labels).write.text(path)
     rows = spark.read.format("libsvm").option("numFeatures", str(size)).load(path)
 
     counts = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
@@ -174,6 +228,18 @@ def train(texts: DataFrame) -> Model:
     return Model(terms, float(fitted.intercept))
 
 
+def prior_model(vocabulary: DataFrame, labels: dict[int, int]) -> Model:
+    """No term counts; the log odds of the classes, with one text more in each.
+
+    Balanced classes weigh the same, so two classes without terms come out even.
+    """
+    positive = sum(n for label, n in labels.items() if label)
+    negative = sum(n for label, n in labels.items() if not label)
+    one_class = not (positive and negative)
+    terms = vocabulary.select("term_id", "term", "idf", F.lit(0.0).alias("coef"))
+    return Model(terms, math.log((positive + 1) / (negative + 1)) if one_class else 0.0)
+
+
 def retrain(texts: DataFrame, extra: DataFrame) -> Model:
     """Full refit on both sets."""
     columns = ["doc_id", "text", "label"]

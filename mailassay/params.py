@@ -35,6 +35,7 @@ class ScanParams:
     max_urls_per_message: int = 5
     reputation_ttl_seconds: int = 86_400
     max_redirect_hops: int = 30
+    request_timeout_seconds: int = 3_600
     nlp_provider: str = "disabled"
     nlp_grey_zone_min: int = 35
     nlp_grey_zone_max: int = 59
@@ -47,6 +48,7 @@ class ScanParams:
     alert_token: str = ""
     alert_chat_id: int = 0
     max_ledger_ids: int = 5_000
+    delivery_ttl_seconds: int = 7 * 86_400
     max_recent_threats: int = 10
     threats_listed: int = 3
     lookup: LookupPolicy = field(default_factory=LookupPolicy)

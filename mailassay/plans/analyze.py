@@ -29,6 +29,12 @@ class Snapshots:
     model: classifier.Model | None = None
     remote_scores: DataFrame | None = None
 
+    def reputation_or_none(self) -> DataFrame:
+        """The reputations; a service that knows nothing is an empty table."""
+        if self.reputation is not None:
+            return self.reputation
+        return self.dns_txt.sparkSession.createDataFrame([], REPUTATION)
+
 
 def message_features(messages: DataFrame, params: ScanParams) -> DataFrame:
     """Narrow columns from headers and parts; the parts go no further.
@@ -93,10 +99,7 @@ def lookup_requests(scored: DataFrame, snapshots: Snapshots, params: ScanParams,
         urls = links.resolve_redirects(urls, snapshots.redirects, "url", params.lookup)
     else:
         urls = urls.withColumn("final_url", F.col("url"))
-    known = snapshots.reputation
-    if known is None:
-        known = scored.sparkSession.createDataFrame([], REPUTATION)
-    return links.urls_to_refresh(urls, known, as_of, params.reputation_ttl_seconds)
+    return links.urls_to_refresh(urls, snapshots.reputation_or_none(), as_of, params.reputation_ttl_seconds)
 
 
 def _rate_urls(scored: DataFrame, snapshots: Snapshots, params: ScanParams, as_of: Column) -> DataFrame:
@@ -172,7 +175,9 @@ def outbound_texts(
     candidates = _grey_candidates(scored, params).select("row_key")
     texts = features.select("row_key", "message_id", "body").join(candidates, "row_key", "left_semi")
     chosen = texts.join(grey.distinct(), "message_id", "left_semi")
-    return masking.with_outbound_text(chosen, "body", "text").select("message_id", "text")
+    return masking.with_outbound_text(
+        chosen, "body", "text", params.nlp_remote_max_chars, params.nlp_sanitize_before_send
+    ).select("message_id", "text")
 
 
 def analyze_messages(

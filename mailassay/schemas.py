@@ -28,3 +28,5 @@ THREAT = (
     "action STRING, detected_at STRING"
 )
 COUNTERS = "total_scanned BIGINT, total_blocked BIGINT"
+DELIVERY = "attempt_id STRING, action_id STRING, at TIMESTAMP, outcome STRING, error STRING"
+REQUEST = "normalized_url STRING, url_key STRING, asked_at TIMESTAMP"

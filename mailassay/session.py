@@ -63,6 +63,12 @@ def delete_path(spark: SparkSession, path: str) -> None:
     files.delete(where, True)
 
 
+def touch(spark: SparkSession, path: str) -> None:
+    """Leave an empty file at ``path``."""
+    files, where = _file_system(spark, path)
+    files.create(where, True).close()
+
+
 def child_names(spark: SparkSession, path: str) -> list[str]:
     """Names of what lies in a folder; none if there is no such folder."""
     files, where = _file_system(spark, path)

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from mailassay.operators import classifier as c
+from mailassay.operators import training
 
 TEXTS = [
     ("please verify your account now", 1), ("verify the payment now please now", 1), ("urgent: verify verify verify", 1),
@@ -130,3 +131,43 @@ def test_local_classifier_in_the_analysis(spark, sf):
             assert row["risk_score"] == max(0, min(100, before["risk_score"] + row["nlp"]["nlp_boost"]))
         else:
             assert row["risk_score"] == before["risk_score"]
+
+
+# --- models of little, and training sets that grow
+
+
+@pytest.mark.parametrize(("labels", "intercept"), [([], 0.0), ([1, 1, 1], math.log(4)), ([0, 0], -math.log(3)), ([None, 1], math.log(2))])
+def test_nothing_to_tell_apart_gives_the_prior(spark, labels, intercept):
+    rows = [(i, f"some words {i}", y) for i, y in enumerate(labels)]
+    texts = spark.createDataFrame(rows, "doc_id BIGINT, text STRING, label INT")
+    model = c.train(texts)
+    assert model.intercept == pytest.approx(intercept)
+    assert {r["coef"] for r in model.terms.collect()} <= {0.0}
+    asked = spark.createDataFrame([(1, "some words"), (2, "")], "doc_id BIGINT, text STRING")
+    for row in c.predict(asked, model, "doc_id", "text").collect():
+        assert row["probability"] == pytest.approx(1 / (1 + math.exp(-intercept)))
+
+
+def test_two_classes_without_terms_come_out_even(spark):
+    texts = spark.createDataFrame([(1, "", 1), (2, "x", 0), (3, None, 0)], "doc_id BIGINT, text STRING, label INT")
+    assert c.train(texts).intercept == 0.0
+
+
+def test_refit_from_kept_counts_equals_the_full_one(spark, corpus, tmp_path):
+    """Three additions, one of them twice; ids that repeat; a vocabulary that is cut."""
+    whole = corpus.unionByName(corpus.limit(1)).unionByName(spark.createDataFrame([(3, "", 1), (77, "no label", None)], corpus.schema))
+    folder = str(tmp_path / "kept")
+    parts = [corpus.filter("doc_id < 4"), corpus.filter("doc_id >= 4"), spark.createDataFrame([(0, TEXTS[0][0], 1), (3, "", 1), (77, "no label", None)], corpus.schema)]
+    assert training.refit(spark, str(tmp_path / "none")).terms.count() == 0
+    for number, part in [*enumerate(parts), (1, parts[1])]:
+        training.add_texts(folder, part, number)
+    for max_terms in (5000, 12):
+        kept = sorted(map(tuple, training.kept_vocabulary(spark, folder, max_terms).collect()))
+        full = sorted(map(tuple, c.fit_vocabulary(whole.filter("label IS NOT NULL"), max_terms=max_terms).collect()))
+        assert [r[:4] for r in kept] == [r[:4] for r in full]
+        assert [r[4] for r in kept] == pytest.approx([r[4] for r in full])
+    ours = {r["term"]: r["coef"] for r in training.refit(spark, folder).terms.collect()}
+    theirs = {r["term"]: r["coef"] for r in c.train(whole.withColumn("doc_id", F.monotonically_increasing_id())).terms.collect()}
+    assert ours.keys() == theirs.keys()
+    for term, coef in theirs.items():
+        assert ours[term] == pytest.approx(coef, abs=1e-4)
