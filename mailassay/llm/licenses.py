@@ -130,7 +130,11 @@ def find_licenses(docs: DataFrame, policy: ScanPolicy = ScanPolicy(), id_column=
         F.col(f"`{id_column}`").cast("bigint").alias("doc_id"),
         text_key(text_column).alias("text_key"),
         words(lowered(text_column)).alias("words"),
-    ).select("doc_id", "text_key", F.size("words").cast("bigint").alias("n_words"), F.explode(windows(policy)).alias("w"))
+    )
+    # windows are made in a step of their own, so that none of them carries the words of its text along;
+    # they are never empty, and an inner explode would ask that by cutting the text once more for each
+    cut = cut.select("doc_id", "text_key", F.size("words").cast("bigint").alias("n_words"), windows(policy).alias("ws"))
+    cut = cut.select("doc_id", "text_key", "n_words", F.explode_outer("ws").alias("w"))
     votes = (
         cut.select("doc_id", "text_key", "n_words", "w.start", F.col("w.gram").alias("text_gram"))
         .join(templates, (F.xxhash64("text_gram") == F.col("hash")) & (F.col("text_gram") == F.col("gram")), "left")

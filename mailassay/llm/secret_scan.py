@@ -23,6 +23,7 @@ import binascii
 import hashlib
 import json
 import re
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -41,8 +42,10 @@ MIN_ASSIGN, MIN_ACCESS, MIN_HEX = 6, 20, 24
 MIN_ENCODED = 60
 KINDS = ("assign", "access", "hex", "pem", "der", "ssh", "jwt")
 
-PEM = re.compile(r"-----BEGIN ((?:[A-Z0-9]+ )*PRIVATE KEY)-----([^-]*)-----END \1-----")
-JWT = re.compile(r"(eyJ[A-Za-z0-9_-]+)\.([A-Za-z0-9_-]+)\.([A-Za-z0-9_-]*)")
+# the body may have header lines; it ends at the next five dashes, so no part of it is read twice
+PEM = re.compile(r"-----BEGIN ((?:[A-Z0-9]+ ){0,8}PRIVATE KEY)-----((?:[^-]++|-(?!----))*+)-----END \1-----")
+PEM_HEADERS = re.compile(r"\A\s*(?:[A-Za-z][A-Za-z0-9-]*:[^\n]*\n(?:[ \t]+\S[^\n]*\n)*+)++\s*\n")
+TOKEN_RUN = re.compile(r"[A-Za-z0-9_.-]+")
 _HEX_CLASS = bytes(1 if chr(i) in "0123456789abcdef" else 0 for i in range(256))
 _BASE64_CLASS = bytes(
     1 if i < 128 and (chr(i).isalnum() or chr(i) in "+/_-") else 0 for i in range(256)
@@ -189,6 +192,41 @@ def is_signed_token(header: str, payload: str, signature: str) -> bool:
     return bool(signature and decode_base64(signature)) or algorithm.lower() == "none"
 
 
+def signed_tokens(text: str) -> Iterator[tuple[int, int]]:
+    """Spans of signed tokens: three parts with dots between, the first one begins ``eyJ``.
+
+    Runs of the alphabet are cut at their dots, and each part is read a bounded number of times.
+    """
+    for run in TOKEN_RUN.finditer(text):
+        if "eyJ" not in run[0]:
+            continue
+        parts, at, i = run[0].split("."), run.start(), 0
+        while i + 2 < len(parts):
+            opens = parts[i].find("eyJ")
+            taken = 1
+            if opens >= 0 and len(parts[i]) > opens + 3 and parts[i + 1]:
+                if is_signed_token(parts[i][opens:], parts[i + 1], parts[i + 2]):
+                    end = at + len(parts[i]) + len(parts[i + 1]) + len(parts[i + 2]) + 2
+                    yield at + opens, end
+                    taken = 3
+            at += sum(len(p) + 1 for p in parts[i : i + taken])
+            i += taken
+
+
+class CodePoints:
+    """Code points before a byte of a text; cheap for places in ascending order."""
+
+    def __init__(self, raw: bytes):
+        self.raw, self.byte, self.point = raw, 0, 0
+
+    def __call__(self, at: int) -> int:
+        if at < self.byte:
+            self.byte = self.point = 0
+        self.point += len(self.raw[self.byte : at].decode("utf-8", "replace"))
+        self.byte = at
+        return self.point
+
+
 def base_spans(raw: bytes, text: str, offset) -> list[tuple[int, int, str]]:
     found = []
     lowered = raw.lower()
@@ -209,13 +247,11 @@ def confirmed_spans(raw: bytes, text: str, offset) -> list[tuple[int, int, str]]
     found = []
     if b"PRIVATE KEY-----" in raw:
         for m in PEM.finditer(text):
-            data = decode_base64(m[2])
+            data = decode_base64(PEM_HEADERS.sub("", m[2], count=1))
             if data and (is_der_key(data) or is_openssh_key(data)):
                 found.append((m.start(), m.end(), "pem"))
     if b"eyJ" in raw:
-        for m in JWT.finditer(text):
-            if is_signed_token(*m.groups()):
-                found.append((m.start(), m.end(), "jwt"))
+        found += [(start, end, "jwt") for start, end in signed_tokens(text)]
     for start, end in runs(raw, _BASE64_CLASS, MIN_ENCODED):
         kind = key_kind(raw[start:end].decode("ascii"))
         if kind:
@@ -230,7 +266,7 @@ def scan_text(raw: bytes | None) -> tuple:
     if len(text) == len(raw):
         offset = int
     else:
-        offset = lambda at: len(raw[:at].decode("utf-8", "replace"))
+        offset = CodePoints(raw)
     base = base_spans(raw, text, offset)
     own = confirmed_spans(raw, text, offset)
     counts = [sum(kind == k for *_, kind in base) for k in KINDS[:3]]
