@@ -30,6 +30,8 @@ from mailassay.sources.mailbox import backlog_signal, decode_raw, unread_page
 
 FORMAT = "mailbox_export"
 _COLUMNS = ("message_id", "label_ids", "internal_ts", "raw_b64")
+#: what Spark expects; times without a zone are taken as UTC
+_TYPES = (pa.string(), pa.list_(pa.string()), pa.timestamp("us", "UTC"), pa.string())
 
 
 @dataclass
@@ -108,7 +110,9 @@ class MailboxReader(DataSourceStreamReader):
                     for batch in file.iter_batches(batch_size=256, row_groups=[group], columns=list(_COLUMNS)):
                         low, high = max(partition.start - at, 0), min(partition.end - at, len(batch))
                         if low < high:
-                            yield batch.slice(low, high - low).select(_COLUMNS)
+                            part = batch.slice(low, high - low)
+                            columns = [part.column(c).cast(kind, safe=False) for c, kind in zip(_COLUMNS, _TYPES)]
+                            yield pa.RecordBatch.from_arrays(columns, names=list(_COLUMNS))
                         at += len(batch)
                 group_start = group_end
 
