@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mailassay.params import LookupPolicy
-from mailassay.session import stage_table
+from mailassay.session import stage_measured, stage_table
 
 _NO_KEY = "\u0001"
 
@@ -32,10 +32,10 @@ def lookup(
     ``left`` are answered from a broadcast of at most ``max_hot_keys`` rows;
     their rows and rows without a key get a key of their own, so that the
     shuffle join spreads them evenly. No row is lost in either way. The reduced
-    table is written once, so that measuring and joining do not reduce it twice.
+    table is written once and measured as it is written.
     """
-    table = stage_table(table, f"table-{key}")
-    if measured_bytes(table) <= policy.broadcast_bytes:
+    table, size = stage_measured(table, f"table-{key}")
+    if size <= policy.broadcast_bytes:
         return left.join(F.broadcast(table), key, "left")
 
     left = stage_table(left, f"lookup-{key}")  # read twice below

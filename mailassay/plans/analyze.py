@@ -107,7 +107,8 @@ def _rate_urls(scored: DataFrame, snapshots: Snapshots, params: ScanParams, as_o
 
     Each distinct URL is rated once, however many messages have it; the ratings
     then join the narrow (row_key, url) rows, of which one aggregation makes a
-    row per message.
+    row per message. Only messages whose links are looked up take part in the join
+    that follows; all others pass it by, without a shuffle.
     """
     asked = gated_urls(scored)
     rated = links.score_urls(
@@ -127,12 +128,16 @@ def _rate_urls(scored: DataFrame, snapshots: Snapshots, params: ScanParams, as_o
             F.sort_array(F.collect_list("result")).alias("analyzed_urls"),
         )
     )
-    none = F.array().cast(found.schema["analyzed_urls"].dataType)
-    return scored.drop("urls").join(found, "row_key", "left").select(
-        *(c for c in scored.columns if c != "urls"),
-        links.message_url_score(F.col("highest")).alias("url_score"),
-        F.coalesce("analyzed_urls", none).alias("analyzed_urls"),
+    kind = found.schema["analyzed_urls"].dataType
+    kept = [c for c in scored.columns if c != "urls"]
+    gated = F.coalesce(~F.col("safe") & (F.col("gate") == "GREY") & (F.col("n_urls") > 0), F.lit(False))
+    with_links = scored.filter(gated).select(*kept).join(found, "row_key").select(
+        *kept, links.message_url_score(F.col("highest")).alias("url_score"), "analyzed_urls"
     )
+    without = scored.filter(~gated).select(
+        *kept, links.message_url_score(F.lit(None).cast("int")).alias("url_score"), F.array().cast(kind).alias("analyzed_urls")
+    )
+    return with_links.unionByName(without)
 
 
 def _grey_candidates(scored: DataFrame, params: ScanParams) -> DataFrame:

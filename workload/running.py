@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import uuid
+from datetime import datetime, timezone
 
 from pyspark.sql import functions as F
 
 from mailassay.operators import outbox, state
 from mailassay.operators.outputs import label_actions
 from mailassay.params import ScanParams
-from mailassay.session import shared_folder
+from mailassay.session import delete_path, shared_folder
+from mailassay.sources.ledger import read_marks, run_number
+from mailassay.sources.mailbox_stream import poll_messages, stream_mailbox
 from mailassay.streaming.deliveries import first_deliveries, state_settings
 from mailassay.streaming.opinions import answer_events, corrected_reports, last_revisions, late_opinions, report_events
 from mailassay.streaming.requests import settle, settled
@@ -38,6 +41,53 @@ def stream_scan(spark, sf):
     return read_output(spark, folder, "reports").select("message_id", "verdict", "action", "risk_score")
 
 
+def stream_once(spark, sf):
+    """Every message is scanned once: a third by a batch run, the rest by a stream whose checkpoint is then lost."""
+    folder = _scratch(spark, "stream-once")
+    documents = inp.table(spark, sf, "documents")
+    marks = documents.filter("doc_id % 3 = 0").select(F.col("doc_id").cast("string").alias("message_id"), inp.as_of().alias("scanned_at"))
+    marks.write.parquet(f"{folder}/ledger/batch_id={run_number(datetime(2024, 1, 31, tzinfo=timezone.utc))}")
+    arrived = inp.messages_raw_of(spark, _stream(spark, sf, "documents"))
+    given = inp.snapshots(spark, sf)
+    for _ in range(2):
+        start_scan(arrived, folder, lambda s: given, PARAMS, inp.as_of, drain=True).awaitTermination()
+        delete_path(spark, f"{folder}/checkpoint")
+    reports = read_output(spark, folder, "reports").groupBy("message_id").agg(F.count(F.lit(1)).alias("n_reports"))
+    done = read_marks(spark, folder).groupBy("message_id").agg(F.count(F.lit(1)).alias("n_marks"))
+    return done.join(reports, "message_id", "left").select("message_id", "n_marks", F.coalesce("n_reports", F.lit(0)).alias("n_reports"))
+
+
+def _export(spark, sf, folder):
+    """The mailbox as export files in order of conversation and turn."""
+    rows = inp.run(spark, sf, inp.MAILBOX)
+    raw = F.translate(F.base64(F.encode(F.coalesce("text", F.lit("")), "UTF-8")), "+/\r\n", "-_")
+    box = rows.repartitionByRange(4, "conv_id", "turn").sortWithinPartitions("conv_id", "turn").select(
+        "message_id", F.split("labels", ",").alias("label_ids"), _at("age_seconds").alias("internal_ts"), raw.alias("raw_b64")
+    )
+    box.write.parquet(f"{folder}/export")
+    return f"{folder}/export"
+
+
+_PAGE = 100
+
+
+def mailbox_polls(spark, sf):
+    """A mailbox export as a stream of pages: unread messages, their text, and the page each came with."""
+    folder = _scratch(spark, "mailbox-polls")
+    stream = stream_mailbox(spark, _export(spark, sf, folder), _PAGE)
+
+    def keep(page, number):
+        messages = poll_messages(page).select(F.lit(number).cast("bigint").alias("poll"), "message_id", F.md5("raw").alias("raw_md5"))
+        messages.write.mode("overwrite").parquet(f"{folder}/out/batch_id={number}")
+
+    query = stream.writeStream.foreachBatch(keep).option("checkpointLocation", f"{folder}/checkpoint").start()
+    try:
+        query.processAllAvailable()
+    finally:
+        query.stop()
+    return spark.read.parquet(f"{folder}/out").drop("batch_id")
+
+
 def stream_dedup(spark, sf):
     """Every event arrives twice; each counts once."""
     twice = _stream(spark, sf, "events").withColumn("copy", F.explode(F.array(F.lit(1), F.lit(2))))
@@ -207,6 +257,8 @@ QUERIES = {
     "request_answers": request_answers,
     "late_opinions": late_opinions_query,
     "stream_scan": stream_scan,
+    "stream_once": stream_once,
+    "mailbox_polls": mailbox_polls,
     "stream_dedup": stream_dedup,
     "scan_counters": scan_counters,
     "recent_threats": recent_threats,
@@ -247,6 +299,10 @@ ORACLES = {
             FROM ({_W}) AS w LEFT JOIN ({_O}) AS o ON o.message_id = w.message_id AND o.n <= w.n + 600
             WHERE base_score BETWEEN 35 AND 59
             GROUP BY ALL) AS x) AS y) AS z""",
+    "stream_once": """SELECT CAST(doc_id AS VARCHAR) AS message_id, CAST(1 AS BIGINT) AS n_marks,
+      CAST(CASE WHEN doc_id % 3 = 0 THEN 0 ELSE 1 END AS BIGINT) AS n_reports FROM documents""",
+    "mailbox_polls": f"""SELECT poll, message_id, raw_md5 FROM (SELECT (row_number() OVER (ORDER BY conv_id, turn) - 1) // {_PAGE} AS poll, message_id, raw_md5, labels FROM (
+      SELECT *, md5(coalesce(text, '')) AS raw_md5 FROM ({inp.sql(inp.MAILBOX)}) AS m) AS n) AS p WHERE labels = 'INBOX,UNREAD'""",
     "outbox_state": f"""SELECT kind, message_id,
       CASE CAST(message_id AS BIGINT) % 5 WHEN 0 THEN 'open' WHEN 1 THEN 'done' WHEN 2 THEN 'done' WHEN 3 THEN 'failed' ELSE 'open' END AS status,
       CAST(CASE CAST(message_id AS BIGINT) % 5 WHEN 0 THEN 0 WHEN 1 THEN 1 WHEN 2 THEN 2 WHEN 3 THEN 3 ELSE 2 END AS BIGINT) AS tries,
