@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from mailassay import lexicon as lx
 from mailassay.functions.text import clamp, half_even, strip
-from mailassay.operators.lookup import measured_bytes
+from mailassay.operators.lookup import lookup
 from mailassay.params import LookupPolicy, ScanParams
 
 
@@ -84,14 +84,15 @@ def is_whitelisted(domain: Column, params: ScanParams) -> Column:
 def whitelisted_domains(domains: DataFrame, trusted: DataFrame, policy: LookupPolicy) -> DataFrame:
     """Distinct ``sender_domain`` values covered by a table of trusted domains.
 
-    For lists that are tables rather than settings. Works on distinct domains,
-    so popular senders weigh nothing; the suffixes make it an equi-join.
+    For lists that are tables rather than settings. Works on distinct domains, so
+    popular senders weigh nothing; the suffixes make it an equi-join. An ending that
+    very many domains share is a hot key: ``lookup`` answers it from a broadcast, and
+    the rows under it spread over the tasks by their domain.
     """
     distinct = domains.select("sender_domain").distinct()
     suffixes = distinct.select(
         "sender_domain", F.explode_outer(domain_suffixes(F.col("sender_domain"))).alias("suffix")
     )
-    listed = trusted.select(strip(F.lower("domain")).alias("suffix")).distinct()
-    if measured_bytes(listed) <= policy.broadcast_bytes:
-        listed = F.broadcast(listed)
-    return suffixes.join(listed, "suffix", "left_semi").select("sender_domain").distinct()
+    listed = trusted.select(strip(F.lower("domain")).alias("suffix")).filter(F.col("suffix").isNotNull()).distinct()
+    found = lookup(suffixes, listed.withColumn("listed", F.lit(True)), "suffix", "sender_domain", policy)
+    return found.filter("listed").select("sender_domain").distinct()

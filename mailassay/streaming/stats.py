@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import heapq
+from collections.abc import Iterator
+
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from mailassay.operators.state import recent_threats, scan_counters
 from mailassay.schemas import COUNTERS, THREAT
@@ -23,6 +26,56 @@ def start_counters(threats: DataFrame, name: str, checkpoint: str, drain: bool =
     return (writer.trigger(availableNow=True) if drain else writer).start()
 
 
+class Ring(StatefulProcessor):
+    """Per part of the stream, the last ``keep`` threats; gives out those that enter."""
+
+    def __init__(self, keep: int):
+        self.keep = keep
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.ring = handle.getListState("ring", "detected_at STRING, message_id STRING")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        held = [tuple(entry) for entry in self.ring.get()] if self.ring.exists() else []
+        entered: list[tuple] = []  # (detected_at, message_id), place, row; the least one first
+        for place, row in enumerate(rows):
+            heapq.heappush(entered, (row.detected_at or "", row.message_id or "", -place, row))
+            if len(entered) > self.keep:
+                heapq.heappop(entered)
+        last = heapq.nlargest(self.keep, held + [e[:2] for e in entered])
+        if last != held:
+            self.ring.put(last)
+        for entry in entered:
+            if last and entry[:2] >= last[-1]:
+                yield entry[3]
+
+    def close(self) -> None:
+        pass
+
+
+def ring_entries(threats: DataFrame, keep: int = 10, parts: int = 16) -> DataFrame:
+    """Stream of the threats that are among the last ``keep`` of their part when they come.
+
+    ``recent_threats`` of what has come out is that of the whole stream: a threat
+    among the last of all is among the last of its part. State is ``keep`` entries a
+    part, and nothing that was written is written again. Start the query within
+    ``state_settings``.
+    """
+    blocked = threats.filter(F.col("verdict") == "QUARANTINE")
+    part = F.pmod(F.xxhash64("message_id", "detected_at"), F.lit(parts)).cast("int")
+    return (
+        blocked.withColumn("__part", part)
+        .groupBy("__part")
+        .transformWithState(
+            statefulProcessor=Ring(keep),
+            outputStructType=blocked.withColumn("__part", part).schema,
+            outputMode="Append",
+            timeMode="None",
+        )
+        .drop("__part")
+    )
+
+
 def _versions(spark: SparkSession, folder: str) -> list[int]:
     """Batches that left a version in ``folder``, in ascending order."""
     return sorted(int(name.split("=")[1]) for name in child_names(spark, folder) if name.startswith("batch_id="))

@@ -1,6 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from mailassay.operators.decision import whitelisted_domains
 from mailassay.operators.lookup import lookup, measured_bytes
 from mailassay.params import LookupPolicy
 
@@ -60,3 +61,25 @@ def test_measured_bytes_grows_with_the_table(spark):
     assert measured_bytes(small.filter("false")) == 0
     long = small.select(F.repeat("k", 1000).alias("k"))
     assert measured_bytes(long) > 10_000
+
+
+@pytest.mark.parametrize("policy", [LookupPolicy(), LookupPolicy(broadcast_bytes=0), LookupPolicy(broadcast_bytes=0, hot_rows=50, max_hot_keys=2)])
+def test_trusted_domains_under_one_ending(spark, policy):
+    """All domains end alike; the list has some of them, a parent, and now and then the ending itself."""
+    names = [f"h{i}.site{i % 700}.example" for i in range(3000)] + ["example", "", None, "other.test", "site1.example"]
+    domains = spark.createDataFrame([(n,) for n in names for _ in range(2)], "sender_domain STRING")
+    for listed in (["site1.example", " H5.Site5.example ", None, "", "nowhere.example"], ["example"], []):
+        trusted = spark.createDataFrame([(d,) for d in listed * 2], "domain STRING")
+        clean = {d.strip().lower() for d in listed if d is not None}
+        want = sorted({n for n in names if n and any(n == d or n.endswith("." + d) for d in clean if d)})
+        got = sorted(r[0] for r in whitelisted_domains(domains, trusted, policy).collect())
+        assert got == want
+
+
+def test_the_hot_ending_is_spread(spark):
+    """Beyond the broadcast limit the rows of the ending are joined under keys of their own."""
+    domains = spark.createDataFrame([(f"h{i}.example",) for i in range(400)], "sender_domain STRING")
+    trusted = spark.createDataFrame([("h7.example",), ("example",)], "domain STRING")
+    found = whitelisted_domains(domains, trusted, LookupPolicy(broadcast_bytes=0, hot_rows=50))
+    text = found._jdf.queryExecution().toString()
+    assert "__join_key" in text and found.count() == 400

@@ -1,4 +1,5 @@
 import os
+import random
 from datetime import datetime, timezone
 
 import pytest
@@ -10,7 +11,8 @@ from mailassay.plans.analyze import Snapshots
 from mailassay.schemas import DNS_TXT, THREAT
 from mailassay.session import shared_folder
 from mailassay.streaming.scan import batch_writer, read_output, start_scan
-from mailassay.streaming.stats import merge_recent_threats, start_counters
+from mailassay.streaming.deliveries import state_settings
+from mailassay.streaming.stats import merge_recent_threats, ring_entries, start_counters
 from workload.inputs import as_of
 
 BLOCKED = b"From: s@fake.example\r\n\r\nacil. security alert. verify your account. update payment."
@@ -37,6 +39,15 @@ def drain(spark, source, out):
     query.awaitTermination()
 
 
+@pytest.fixture(autouse=True)
+def few_partitions(spark):
+    """Each partition of state has a Python worker and a store of its own."""
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "2")
+    yield
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
 def test_redelivered_messages_are_scanned_once(spark, tmp_path):
     source, out = tmp_path / "in", tmp_path / "out"
     arrivals(spark, source, "first", ["a", "b", "b"])
@@ -110,6 +121,24 @@ def test_ring_over_batches_equals_batch_result(spark, tmp_path):
         ("m35", "&lt;s35&gt;", "2024-01-01 00:00:35")]
 
 
+def test_ring_in_state_equals_batch_result(spark, tmp_path):
+    """Several batches, equal times, repeated rows, null ids; the state holds no more than the ring."""
+    rows = [threat(i, "QUARANTINE" if i % 3 else "WARN") for i in range(60)] + [threat(50)] * 3
+    rows += [(None, *threat(58)[1:]), (None, *threat(59)[1:-1], None)]
+    random.Random(2).shuffle(rows)
+    for start in range(0, len(rows), 13):
+        spark.createDataFrame(rows[start : start + 13], THREAT).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    stream_of = spark.readStream.schema(THREAT).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    writer = ring_entries(stream_of, 10, parts=2).writeStream.format("parquet").option("path", f"{tmp_path}/out")
+    with state_settings(spark, **{"spark.sql.shuffle.partitions": "2"}):
+        query = writer.option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).start()
+    query.awaitTermination()
+    found = state.recent_threats(spark.read.parquet(f"{tmp_path}/out")).collect()
+    whole = state.recent_threats(spark.createDataFrame(rows, THREAT)).collect()
+    assert sorted(map(str, found)) == sorted(map(str, whole))
+    assert query.lastProgress["stateOperators"][0]["numRowsTotal"] <= 2 * 10
+
+
 def test_running_counters(spark, tmp_path):
     source = tmp_path / "threats"
     spark.createDataFrame([threat(i, "SAFE" if i % 2 else "QUARANTINE") for i in range(9)], THREAT).write.parquet(str(source))

@@ -17,6 +17,7 @@ from mailassay.streaming.deliveries import first_deliveries, state_settings
 from mailassay.streaming.opinions import answer_events, corrected_reports, last_revisions, late_opinions, report_events
 from mailassay.streaming.requests import settle, settled
 from mailassay.streaming.scan import read_output, start_scan
+from mailassay.streaming.stats import ring_entries
 from workload import inputs as inp
 from workload.decide import FLAT_SQL, PARAMS, _action_sql
 
@@ -113,6 +114,16 @@ def recent_threats(spark, sf):
     return state.recent_threats(inp.threats(spark, sf), PARAMS.max_recent_threats)
 
 
+def recent_threats_stream(spark, sf):
+    """The same ten of a stream that keeps a ring in its state."""
+    folder = _scratch(spark, "recent-threats")
+    threats = inp.threats(spark, sf)
+    _written(threats.repartition(4), folder, "threats")
+    stream = spark.readStream.schema(threats.schema).option("maxFilesPerTrigger", 2).parquet(f"{folder}/threats")
+    _drained(spark, ring_entries(stream, PARAMS.max_recent_threats, parts=4), folder)
+    return state.recent_threats(spark.read.parquet(f"{folder}/out"), PARAMS.max_recent_threats)
+
+
 def latest_three(spark, sf):
     return state.threat_listing(inp.threats(spark, sf), PARAMS.threats_listed)
 
@@ -262,6 +273,7 @@ QUERIES = {
     "stream_dedup": stream_dedup,
     "scan_counters": scan_counters,
     "recent_threats": recent_threats,
+    "recent_threats_stream": recent_threats_stream,
     "latest_three": latest_three,
     "block_rate": block_rate,
     "uptime_text": uptime_text,
@@ -313,6 +325,7 @@ ORACLES = {
     "stream_dedup": "SELECT event_type, count(*) AS n, count(DISTINCT event_id) AS n_ids FROM events GROUP BY event_type",
     "scan_counters": f"SELECT count(*) AS total_scanned, count(*) FILTER (verdict = 'QUARANTINE') AS total_blocked FROM ({_T}) AS t",
     "recent_threats": f"{_BLOCKED} LIMIT 10",
+    "recent_threats_stream": f"{_BLOCKED} LIMIT 10",
     "latest_three": f"""SELECT message_id, {_ESC.format("substr(subject, 1, 50)")} AS subject, {_ESC.format("sender")} AS sender,
       risk_score, action, replace(substr(detected_at, 1, 19), 'T', ' ') AS detected_at FROM ({_BLOCKED} LIMIT 3) AS b""",
     "block_rate": f"""SELECT sender, printf('%.1f%%', CAST(count(*) FILTER (verdict = 'QUARANTINE') AS DOUBLE) / count(*) * 100) AS rate,
