@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import uuid
+
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from mailassay import lexicon as lx
@@ -18,8 +20,9 @@ from mailassay.session import stage_table
 def final_destinations(hops: DataFrame, policy: LookupPolicy, max_hops: int = 30) -> DataFrame:
     """From a table of single hops (``url, next_url``) to ``url, final_url``.
 
-    Doubles the reach in every round, so 30 hops take five joins. Each round is
-    a written table: the next one reads it twice. Chains that do not end within
+    Doubles the reach in every round, so 30 hops take five joins, and fewer if a
+    round moves nothing: then all that ends has ended. Each round is a written
+    table: the next one reads it twice. Chains that do not end within
     ``max_hops``, cycles among them, have no row: their URLs stay unchanged.
     """
     reach = stage_table(
@@ -31,8 +34,13 @@ def final_destinations(hops: DataFrame, policy: LookupPolicy, max_hops: int = 30
         onward = reach.select(
             F.col("url").alias("dest"), F.col("dest").alias("further"), F.col("hops").alias("more")
         )
+        # counted as the round is written: rows that this round brings to another place
+        moved = Observation(f"moved-{uuid.uuid4().hex}")
+        gone_on = lookup(reach, onward, "dest", "url", policy).observe(
+            moved, F.count(F.when(F.col("further") != F.col("dest"), 1)).alias("rows")
+        )
         reach = stage_table(
-            lookup(reach, onward, "dest", "url", policy).select(
+            gone_on.select(
                 "url",
                 F.coalesce("further", "dest").alias("dest"),
                 (F.col("hops") + F.coalesce("more", F.lit(0))).alias("hops"),
@@ -40,6 +48,8 @@ def final_destinations(hops: DataFrame, policy: LookupPolicy, max_hops: int = 30
             "redirect-reach",
         )
         covered *= 2
+        if not moved.get["rows"]:
+            break
     starts = hops.select(F.col("url").alias("dest"), F.lit(True).alias("goes_on")).distinct()
     ended = lookup(reach, starts, "dest", "url", policy).filter(F.col("goes_on").isNull())
     return ended.filter(F.col("hops") <= max_hops).select("url", F.col("dest").alias("final_url"))
