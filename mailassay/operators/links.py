@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from mailassay import lexicon as lx
+from mailassay.functions.text import half_even
 from mailassay.functions.urls import normalize_url, reputation_key
 from mailassay.operators.lookup import lookup
 from mailassay.params import LookupPolicy, ScanParams
@@ -135,12 +136,12 @@ def urls_to_refresh(
 def page_verdict_result(result_json: Column) -> Column:
     """Verdict fields of a page-scan answer; anything missing counts as harmless."""
     overall = F.from_json(
-        F.get_json_object(result_json, "$.verdicts.overall"), "malicious BOOLEAN, score INT"
+        F.get_json_object(result_json, "$.verdicts.overall"), "malicious BOOLEAN, score DOUBLE"
     )
     malicious = F.coalesce(overall["malicious"], F.lit(False))
     return F.struct(
         malicious.alias("malicious"),
-        F.coalesce(overall["score"], F.lit(0)).alias("score"),
+        F.coalesce(half_even(overall["score"]).cast("int"), F.lit(0)).alias("score"),
         F.when(malicious, lx.PAGE_VERDICT_RISK).otherwise(0).alias("page_risk"),
     )
 

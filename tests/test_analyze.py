@@ -226,6 +226,20 @@ def test_what_a_scan_asks_for(spark):
     assert scan_raw(raw, spark.createDataFrame([], LEDGER), Snapshots(no_dns(spark)), ScanParams(), as_of()).outbound_texts.count() == 0
 
 
+def test_settings_of_what_goes_out(spark):
+    """The length limit and the masking switch hold in the scan as in the column function."""
+    raw = spark.createDataFrame(
+        [("grey", bytearray(b"From: s@some.example\r\n\r\nacil mail me at jo@mail.example or at home some day"))], "message_id STRING, raw BINARY")
+    for settings, expected in (
+        ({"nlp_sanitize_before_send": False, "nlp_remote_max_chars": 31}, "acil mail me at jo@mail.example"),
+        ({"nlp_sanitize_before_send": True, "nlp_remote_max_chars": 16}, "acil mail me"),
+    ):
+        params = ScanParams.from_settings({"nlp_provider": "remote_api", **settings})
+        (row,) = scan_raw(raw, spark.createDataFrame([], LEDGER), Snapshots(no_dns(spark)), params, as_of()).outbound_texts.collect()
+        assert row["text"].startswith(expected) and len(row["text"]) < 60
+        assert "jo@mail" not in row["text"] or not settings["nlp_sanitize_before_send"]
+
+
 def test_report_json_keeps_nulls(spark):
     reports = analyze_messages(messages(spark, {"one": ("n@u.example", "", [("text/plain", "acil")])}), Snapshots(no_dns(spark)), ScanParams(), as_of())
     report = json.loads(report_json(reports).first()["report"])

@@ -87,3 +87,9 @@ def test_first_urls_of_one_huge_message(spark):
     for row in links.first_urls_per_message(table, 5).collect():
         found.setdefault(row["message_id"], {})[row["rank"]] = row["url"]
     assert found == {m: dict(enumerate(sorted(u)[:5], 1)) for m, u in expected.items()}
+
+
+def test_page_scores_that_are_no_integers(column):
+    answers = ['{"verdicts":{"overall":{"malicious":false,"score":%s}}}' % v for v in ("7", "7.6", "2.5", "1e2", '"x"', "null")]
+    found = column(links.page_verdict_result, answers)
+    assert [r["score"] for r in found] == [7, 8, 2, 100, 0, 0]
