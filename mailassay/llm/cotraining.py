@@ -47,6 +47,7 @@ class CoTrainingPolicy:
 
 
 PAIR_BINS, NAME_BINS = 512, 48
+_BLOCK = 1024  # rows of a product at once
 _PAIR_CODES = ((np.arange(1 << 16, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(55)).astype(np.int64)
 _SYMBOLS = b"#*$%&|<>{}[]\\^~=_@"
 
@@ -116,8 +117,12 @@ class View:
     offset: float = 0.0
 
     def scaled(self, x: np.ndarray) -> np.ndarray:
-        z = np.clip((x - self.mean) / self.scale, -6, 6)
-        return np.hstack([z, np.ones((len(z), 1), z.dtype)])
+        z = np.ones((x.shape[0], x.shape[1] + 1), x.dtype)  # filled in place: one copy of the rows is enough
+        inner = z[:, :-1]
+        np.subtract(x, self.mean, out=inner)
+        np.divide(inner, self.scale, out=inner)
+        np.clip(inner, -6, 6, out=inner)
+        return z
 
     def fit(self, x: np.ndarray, y: np.ndarray, policy: CoTrainingPolicy) -> View:
         self.mean = x.mean(axis=0)
@@ -159,7 +164,11 @@ def accelerated_logistic(z: np.ndarray, y: np.ndarray, steps: int, ridge: float)
     rate = 1 / (1.1 * norm / (4 * n) + ridge)
     w = ahead = np.zeros(d, np.float64)
     for step in range(steps):
-        gradient = z.T @ (sigmoid(z @ ahead) - y) / n + ridge * ahead
+        gradient = np.zeros(d, np.float64)
+        for start in range(0, n, _BLOCK):  # a product with doubles copies its rows as doubles
+            part = z[start : start + _BLOCK].astype(np.float64)
+            gradient += part.T @ (sigmoid(part @ ahead) - y[start : start + _BLOCK])
+        gradient = gradient / n + ridge * ahead
         after = ahead - rate * gradient
         ahead = after + step / (step + 3) * (after - w)
         w = after
@@ -257,9 +266,12 @@ def train(docs: DataFrame, labels: DataFrame, policy: CoTrainingPolicy = CoTrain
     width = PAIR_BINS + 4
     x = np.array([np.frombuffer(b, np.float32) for b in sample["features"]], np.float32).reshape(-1, width + NAME_BINS + 12)
     y = sample["label"].to_numpy(np.float64)
+    del sample
     known = ~np.isnan(y)
-    views = lambda rows: [x[rows][:, :width], x[rows][:, width:]]
-    return co_train(views(known), y[known], views(~known), policy)
+    views = lambda rows: [x[rows, :width], x[rows, width:]]
+    labelled, pool = views(known), views(~known)
+    del x
+    return co_train(labelled, y[known], pool, policy)
 
 
 def quality(docs: DataFrame, model: CoTrained | None) -> Column:
