@@ -272,3 +272,47 @@ def prefix_trie(conversations: DataFrame, policy: TriePolicy = TriePolicy()) ->
 
 def op12_depth_band_rollup(spark, sf_dir) -> DataFrame:
     return prefix_trie(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
+ORACLE = """
+WITH t AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS pos
+  FROM conversations WHERE conv_id IS NOT NULL
+), ids AS (
+  SELECT conv_id, count(*) AS n, conv_id - conv_id % 100 AS head, CAST(conv_id AS VARCHAR) AS word FROM t GROUP BY conv_id
+), sums AS (
+  SELECT conv_id, n, head, xor(list_reduce(
+      list_prepend(CAST(4294967295 AS BIGINT), list_transform(range(1, length(word) + 1), lambda i: CAST(ascii(substr(word, CAST(i AS INTEGER), 1)) AS BIGINT))),
+      lambda c, b: list_reduce(list_prepend(xor(c, b), list_transform(range(0, 8), lambda i: CAST(0 AS BIGINT))),
+        lambda x, y: xor(x >> 1, 3988292384 * (x & 1)))), CAST(4294967295 AS BIGINT)) % 6 AS h
+  FROM ids
+), c AS (
+  SELECT s.conv_id, s.head, s.h, least(s.h, coalesce(f.n, 0)) AS shared FROM sums AS s LEFT JOIN ids AS f ON f.conv_id = s.head
+), steps AS (
+  SELECT c.conv_id, t.pos AS depth, t.role, t.text FROM c JOIN t ON t.conv_id = c.head AND t.pos <= c.h
+  UNION ALL SELECT c.conv_id, c.shared + t.pos - c.h, t.role, t.text FROM c JOIN t ON t.conv_id = c.conv_id AND t.pos > c.h
+), paths AS (
+  SELECT c.conv_id, coalesce(p.path, []) AS path
+  FROM c LEFT JOIN (SELECT conv_id, list([role, text] ORDER BY depth) AS path FROM steps GROUP BY conv_id) AS p ON p.conv_id = c.conv_id
+), passed AS (
+  SELECT conv_id, len(path) AS turns, d, path[1:d] AS prefix FROM (SELECT *, unnest(range(0, len(path) + 1)) AS d FROM paths) AS u
+), nodes AS (
+  SELECT prefix, d AS depth, min(conv_id) AS conv_id, count(*) AS n_convs,
+    string_agg(CASE WHEN turns = d THEN CAST(conv_id AS VARCHAR) END, ',' ORDER BY conv_id) AS ends
+  FROM passed GROUP BY prefix, d
+), children AS (
+  SELECT prefix[1:depth - 1] AS prefix, depth - 1 AS depth, count(*) AS n_children FROM nodes WHERE depth > 0 GROUP BY 1, 2
+), facts AS (
+  SELECT n.*, coalesce(k.n_children, 0) AS n_children,
+    CASE WHEN n.depth = 0 THEN 0 ELSE (n.n_convs - 1) * length(n.prefix[n.depth][2]) END AS saved
+  FROM nodes AS n LEFT JOIN children AS k ON k.prefix = n.prefix AND k.depth = n.depth
+), totals AS (
+  SELECT prefix[1:a] AS prefix, a AS depth, sum(CASE WHEN n_children = 0 THEN 1 ELSE 0 END) AS n_leaves, sum(saved) AS saved_tokens
+  FROM (SELECT *, unnest(range(0, depth + 1)) AS a FROM facts) AS e GROUP BY 1, 2
+)
+SELECT f.conv_id, CAST(f.depth AS BIGINT) AS depth, p.conv_id AS parent_conv_id, f.n_convs, CAST(f.n_children AS BIGINT) AS n_children,
+  CAST(s.n_leaves AS BIGINT) AS n_leaves, CAST(s.saved_tokens AS BIGINT) AS saved_tokens, sha256(coalesce(f.ends, '')) AS ends_sha256
+FROM facts AS f JOIN totals AS s ON s.prefix = f.prefix AND s.depth = f.depth
+LEFT JOIN nodes AS p ON f.depth > 0 AND p.depth = f.depth - 1 AND p.prefix = f.prefix[1:f.depth - 1]
+"""

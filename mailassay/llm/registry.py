@@ -12,6 +12,7 @@ from mailassay.llm.hard_negatives import op11_residue_number_gemm
 from mailassay.llm.language import op4_language_bitmask
 from mailassay.llm.licenses import op6_diagonal_voting
 from mailassay.llm.pivotal import op8_pivotal_rounding
+from mailassay.llm.prefix_trie import ORACLE as PREFIX_TRIE_SQL
 from mailassay.llm.prefix_trie import op12_depth_band_rollup
 from mailassay.llm.secret_scan import op9_structural_confirmation
 from mailassay.llm.sharding import op10_hypergeometric_shuffle
@@ -40,4 +41,5 @@ QUERIES = {
 ORACLES: dict[str, str] = {
     "op3_cross_entropy_difference": CROSS_ENTROPY_SQL,
     "op11_residue_number_gemm": HARD_NEGATIVES_SQL,
+    "op12_depth_band_rollup": PREFIX_TRIE_SQL,
 }
