@@ -59,6 +59,11 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return files.exists(where)
 
 
+def is_folder(spark: SparkSession, path: str) -> bool:
+    files, where = _file_system(spark, path)
+    return files.exists(where) and files.getFileStatus(where).isDirectory()
+
+
 def delete_path(spark: SparkSession, path: str) -> None:
     files, where = _file_system(spark, path)
     files.delete(where, True)

@@ -14,6 +14,7 @@ from mailassay.streaming.scan import batch_writer, read_output, start_scan
 from mailassay.streaming.deliveries import state_settings
 from mailassay.streaming.stats import merge_recent_threats, ring_entries, start_counters
 from workload.inputs import as_of
+from workload.running import _stream
 
 BLOCKED = b"From: s@fake.example\r\n\r\nacil. security alert. verify your account. update payment."
 PARAMS = ScanParams(risk_threshold=55)
@@ -169,3 +170,15 @@ def test_uptime(spark, start, end, expected):
 
 def test_not_started(spark):
     assert spark.range(1).select(state.uptime_text(F.lit(None).cast("timestamp"), as_of())).first()[0] == "Henüz başlatılmadı"
+
+
+def test_tables_stream_as_a_file_and_as_a_folder(spark, tmp_path):
+    rows = spark.range(40).selectExpr("id as doc_id", "cast(id as string) as text")
+    rows.repartition(3).write.parquet(f"{tmp_path}/folder/documents.parquet")
+    (tmp_path / "file").mkdir()
+    rows.toPandas().to_parquet(tmp_path / "file" / "documents.parquet")
+    for kind in ("folder", "file"):
+        found = _stream(spark, str(tmp_path / kind), "documents").writeStream.format("parquet").option("path", f"{tmp_path}/{kind}-out")
+        found.option("checkpointLocation", f"{tmp_path}/{kind}-cp").trigger(availableNow=True).start().awaitTermination()
+        seen = spark.read.schema(rows.schema).parquet(f"{tmp_path}/{kind}-out")
+        assert sorted(r["doc_id"] for r in seen.collect()) == list(range(40))

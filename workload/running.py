@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from mailassay.operators import outbox, state
 from mailassay.operators.outputs import label_actions
 from mailassay.params import ScanParams
-from mailassay.session import delete_path, shared_folder
+from mailassay.session import delete_path, is_folder, shared_folder
 from mailassay.sources.ledger import read_marks, run_number
 from mailassay.sources.mailbox_stream import poll_messages, stream_mailbox
 from mailassay.streaming.deliveries import first_deliveries, state_settings
@@ -23,8 +23,12 @@ from workload.decide import FLAT_SQL, PARAMS, _action_sql
 
 
 def _stream(spark, sf, name):
-    schema = inp.table(spark, sf, name).schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf)
+    """A given table as a stream, whether it is one file or a folder of files."""
+    path = f"{sf}/{name}.parquet"
+    source = spark.readStream.schema(inp.table(spark, sf, name).schema)
+    if is_folder(spark, path):
+        return source.parquet(path)
+    return source.option("pathGlobFilter", f"{name}.parquet").parquet(sf)
 
 
 def _scratch(spark, name):
