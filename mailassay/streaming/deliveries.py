@@ -12,6 +12,9 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 #: state on local disk of the executors, saved by changes: a batch touches only its own ids
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 _KEY = "__delivery"
+_BUCKET = "__bucket"
+#: a call into the state costs far more than an id, so ids share entries
+BUCKETS = 1 << 16
 
 
 def delivery_key(columns: list[str]) -> Column:
@@ -21,28 +24,42 @@ def delivery_key(columns: list[str]) -> Column:
 
 
 class FirstDelivery(StatefulProcessor):
-    """Lets the first row of a key pass, and none within ``ttl_ms`` after it.
+    """Lets the first row of an id pass, and none within ``ttl_ms`` after it.
 
-    Of the rows that a batch brings for one key the least passes, so that a batch
-    that runs again chooses the same.
+    Of the rows that a batch brings for one id the least passes, so that a batch
+    that runs again chooses the same. An entry of the state holds the ids of one
+    bucket with their times: one read and one write serve all ids that a batch has in
+    it. Ids whose time is over leave with the bucket's next write, or with the bucket.
     """
 
     def __init__(self, ttl_ms: int):
         self.ttl_ms = ttl_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.seen = handle.getValueState("seen", "delivered BOOLEAN", self.ttl_ms)
+        self.seen = handle.getValueState("seen", "ids ARRAY<STRING>, times ARRAY<BIGINT>", self.ttl_ms)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        chosen = min(rows, key=lambda row: tuple((v is not None, v if v is not None else 0) for v in row))
-        if not self.seen.exists():
-            self.seen.update((True,))
-            yield chosen
+        now = timerValues.getCurrentProcessingTimeInMs()
+        held = self.seen.get()
+        times = {i: t for i, t in zip(*held) if now < t + self.ttl_ms} if held else {}
+        chosen: dict[str, Row] = {}
+        for row in rows:
+            name = row[_KEY]
+            if name not in times and (name not in chosen or _order(row) < _order(chosen[name])):
+                chosen[name] = row
+        if chosen:
+            times.update(dict.fromkeys(chosen, now))
+            self.seen.update((list(times), list(times.values())))
+            yield from chosen.values()
 
     def close(self) -> None:
         pass
 
 
+def _order(row: Row) -> tuple:
+    return tuple((v is not None, v if v is not None else 0) for v in row)
+
+
 @contextlib.contextmanager
 def state_settings(spark: SparkSession, **more: str) -> Iterator[None]:
     """Settings that a stateful query takes over when it starts.
@@ -72,15 +89,17 @@ def state_settings(spark: SparkSession, **more: str) -> Iterator[None]:
 def first_deliveries(stream: DataFrame, ttl_seconds: int = 7 * 86_400) -> DataFrame:
     """Each message id once within ``ttl_seconds``; without an id, each content once.
 
-    The state is partitioned with the stream and holds one entry per id of that
-    time, so it levels off. Ids that come again later have to be known to a ledger.
-    Start the query within ``state_settings``.
+    The state is partitioned with the stream and holds the ids of that time, in
+    ``BUCKETS`` entries at most, so it levels off; a batch reads the entries that its
+    own ids are in. Ids that come again later have to be known to a ledger. Start the
+    query within ``state_settings``.
     """
-    keyed = stream.withColumn(_KEY, delivery_key(stream.columns))
-    once = keyed.groupBy(_KEY).transformWithState(
+    key = delivery_key(stream.columns)
+    keyed = stream.withColumn(_KEY, key).withColumn(_BUCKET, F.pmod(F.xxhash64(_KEY), F.lit(BUCKETS)).cast("int"))
+    once = keyed.groupBy(_BUCKET).transformWithState(
         statefulProcessor=FirstDelivery(ttl_seconds * 1000),
         outputStructType=keyed.schema,
         outputMode="Append",
         timeMode="ProcessingTime",
     )
-    return once.drop(_KEY)
+    return once.drop(_KEY, _BUCKET)

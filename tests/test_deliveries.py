@@ -4,6 +4,7 @@ from dataclasses import replace
 from datetime import datetime, timezone
 
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from mailassay.__main__ import main
@@ -12,7 +13,7 @@ from mailassay.schemas import LEDGER
 from mailassay.session import child_names, delete_path, stage_table
 from mailassay.sources.ledger import first_batch_number, read_marks, run_number, unmarked
 from mailassay.sources.mailbox import stream_message_files
-from mailassay.streaming.deliveries import first_deliveries, state_settings
+from mailassay.streaming.deliveries import FirstDelivery, first_deliveries, state_settings
 from mailassay.streaming.scan import read_output, start_scan
 from tests.test_plans import plan
 from tests.test_streaming import BLOCKED, PARAMS, arrivals, as_of, drain, snapshots, stream
@@ -133,3 +134,37 @@ def test_the_least_row_of_a_batch_passes(spark, tmp_path):
             "checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).start()
     query.awaitTermination()
     assert sorted(map(tuple, spark.read.parquet(f"{tmp_path}/out").collect()), key=str) == [("a", 1, None), (None, 7, "y")]
+
+
+class _Value:
+    """A value of the state, and the calls on it."""
+
+    def __init__(self):
+        self.value, self.calls = None, 0
+
+    def get(self):
+        self.calls += 1
+        return self.value
+
+    def update(self, value):
+        self.calls += 1
+        self.value = value
+
+
+def test_ids_share_state_entries_and_keep_their_own_times():
+    """A bucket is read and written once, however many ids it has; each id is forgotten on its own."""
+    step = FirstDelivery(1_000)
+    step.seen = _Value()
+    row = Row("message_id", "n", "__delivery", "__bucket")
+
+    def at(now, *names):
+        rows = iter([row(name, n, name, 3) for name in names for n in (2, 1)])
+        return sorted((r["message_id"], r["n"]) for r in step.handleInputRows((3,), rows, type("T", (), {"getCurrentProcessingTimeInMs": lambda _: now})()))
+
+    names = [f"m{i}" for i in range(50)]
+    assert at(0, *names) == sorted((name, 1) for name in names)
+    assert step.seen.calls == 2
+    assert at(600, "m1", "x") == [("x", 1)]
+    assert at(1_000, "m1", "x") == [("m1", 1)]
+    assert sorted(step.seen.value[0]) == ["m1", "x"] and at(1_600, "m1", "x") == [("x", 1)]
+    assert at(1_601, "m1") == []
