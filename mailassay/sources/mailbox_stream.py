@@ -5,7 +5,9 @@ files whose names sort behind the ones before, as names by time do. An offset is
 the last file begun and the rows taken of it; row counts come from the files'
 footers. A batch takes at most ``page_size`` rows, so a backlog is worked off page
 by page, like polls of a mailbox that return one page each. Each file of a page is
-a partition of its own, and only the row groups that the page touches are read.
+a partition of its own, and only the row groups that the page touches are read, up
+to its last row. A batch costs about the same however few rows it has, so a long
+backlog can be admitted many pages at a time: each row then names its page.
 
 The reader runs beside Spark, in Python processes: it opens files by way of
 pyarrow, which knows local paths, ``hdfs:``, ``s3:`` and ``gs:`` stores.
@@ -36,11 +38,12 @@ _TYPES = (pa.string(), pa.list_(pa.string()), pa.timestamp("us", "UTC"), pa.stri
 
 @dataclass
 class Slice(InputPartition):
-    """Rows ``start`` to ``end`` of a file."""
+    """Rows ``start`` to ``end`` of a file, and how many rows of the batch lie before them."""
 
     file: str
     start: int
     end: int
+    before: int = 0
 
 
 def _file_system(path: str) -> tuple[fs.FileSystem, str]:
@@ -50,9 +53,10 @@ def _file_system(path: str) -> tuple[fs.FileSystem, str]:
 
 
 class MailboxReader(DataSourceStreamReader):
-    def __init__(self, path: str, page_size: int | None):
+    def __init__(self, path: str, page_size: int | None, pages: int | None = None):
         self.path = path
         self.page_size = page_size
+        self.pages = pages
         self.position: dict | None = None  # the end of the last batch that was planned
         self._rows: dict[str, int] = {}
 
@@ -73,18 +77,20 @@ class MailboxReader(DataSourceStreamReader):
 
     def ahead(self, start: dict, end: dict | None = None) -> Iterator[Slice]:
         """What lies between two offsets, or behind one, file by file."""
+        before = 0
         for name in self.files():
             if name < start["file"] or (end is not None and name > end["file"]):
                 continue
             first = start["row"] if name == start["file"] else 0
             last = end["row"] if end is not None and name == end["file"] else self.rows_of(name)
             if first < last:
-                yield Slice(name, first, last)
+                yield Slice(name, first, last, before)
+                before += last - first
 
     def latestOffset(self) -> dict:
-        """One page behind the last planned batch; after a restart Spark tells that one first."""
+        """One batch behind the last planned one; after a restart Spark tells that one first."""
         at = self.position or self.initialOffset()
-        left = self.page_size
+        left = self.page_size and self.page_size * (self.pages or 1)
         for part in self.ahead(at):
             taken = part.end - part.start if left is None else min(left, part.end - part.start)
             at = {"file": part.file, "row": part.start + taken}
@@ -112,30 +118,49 @@ class MailboxReader(DataSourceStreamReader):
                         if low < high:
                             part = batch.slice(low, high - low)
                             columns = [part.column(c).cast(kind, safe=False) for c, kind in zip(_COLUMNS, _TYPES)]
-                            yield pa.RecordBatch.from_arrays(columns, names=list(_COLUMNS))
+                            names = list(_COLUMNS)
+                            if self.pages:
+                                first = partition.before + at + low - partition.start
+                                columns.append(pa.array([n // self.page_size for n in range(first, first + len(part))], pa.int32()))
+                                names.append("page")
+                            yield pa.RecordBatch.from_arrays(columns, names=names)
                         at += len(batch)
+                        if at >= partition.end:
+                            return
                 group_start = group_end
 
 
 class MailboxExport(DataSource):
-    """Options: ``path``; ``page_size``, rows that a batch takes at most (all, if it is empty)."""
+    """Options: ``path``; ``page_size``, rows of a page (all, if it is empty); ``pages`` of a batch.
+
+    A batch is one page, unless ``pages`` is given: then it takes so many at most, and a
+    column ``page`` numbers those of the batch from 0.
+    """
 
     @classmethod
     def name(cls) -> str:
         return FORMAT
 
     def schema(self) -> str:
-        return MAILBOX
+        return f"{MAILBOX}, page INT" if self.options.get("pages") else MAILBOX
 
     def streamReader(self, schema: StructType) -> MailboxReader:
-        size = self.options.get("page_size", "")
-        return MailboxReader(self.options["path"], int(size) if size else None)
+        size, pages = (self.options.get(name, "") for name in ("page_size", "pages"))
+        return MailboxReader(self.options["path"], int(size) if size else None, int(pages) if pages else None)
+
 
+def stream_mailbox(spark: SparkSession, path: str, page_size: int | None, pages: int | None = None) -> DataFrame:
+    """The rows of a mailbox export as they come, at most ``page_size`` in a batch.
 
-def stream_mailbox(spark: SparkSession, path: str, page_size: int | None) -> DataFrame:
-    """The rows of a mailbox export as they come, at most ``page_size`` in a batch."""
+    With ``pages`` a batch takes up to so many pages. Each is full but the last of an
+    export that has been read to its end, so with batches numbered from 0, row ``page``
+    of batch N is page ``N * pages + page`` of a finished export.
+    """
+    if pages and not page_size:
+        raise ValueError("pages need a page_size")
     spark.dataSource.register(MailboxExport)
-    return spark.readStream.format(FORMAT).option("path", path).option("page_size", str(page_size or "")).load()
+    source = spark.readStream.format(FORMAT).option("path", path).option("page_size", str(page_size or ""))
+    return source.option("pages", str(pages or "")).load()
 
 
 def read_mailbox(spark: SparkSession, path: str) -> DataFrame:
@@ -144,8 +169,8 @@ def read_mailbox(spark: SparkSession, path: str) -> DataFrame:
 
 
 def poll_messages(page: DataFrame) -> DataFrame:
-    """``message_id, raw`` of the unread messages of one page."""
-    return decode_raw(unread_page(page, None)).select("message_id", "raw")
+    """``message_id, raw`` of the unread messages of one page; of several, with the ``page``."""
+    return decode_raw(unread_page(page, None)).select("message_id", "raw", *(c for c in page.columns if c == "page"))
 
 
 def poll_backlog(page: DataFrame, folder: str, batch_id: int, page_size: int) -> DataFrame:

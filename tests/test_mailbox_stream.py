@@ -2,11 +2,12 @@ import base64
 from dataclasses import replace
 from datetime import datetime, timezone
 
+import pyarrow.parquet as pq
 import pytest
 
 from mailassay.plans.scan import scan_mailbox
 from mailassay.schemas import LEDGER, MAILBOX
-from mailassay.sources.mailbox_stream import MailboxExport, MailboxReader, read_mailbox
+from mailassay.sources.mailbox_stream import MailboxExport, MailboxReader, poll_messages, read_mailbox, stream_mailbox
 from mailassay.streaming.scan import read_output, start_mailbox_scan
 from tests.test_streaming import BLOCKED, PARAMS, as_of, snapshots
 
@@ -79,3 +80,39 @@ def test_polls_equal_the_batch_twin(spark, tmp_path, few_partitions):
 
 def test_switched_off(spark, tmp_path):
     assert start_mailbox_scan(spark, "x", str(tmp_path), snapshots, replace(PARAMS, auto_start_scan=False)) is None
+
+
+def test_many_pages_in_a_batch(spark, tmp_path):
+    """Every row names its page, over files and row groups; a batch is full but at the end."""
+    for number, n in enumerate((5, 0, 9)):
+        export(spark, tmp_path / "box", number, [f"{number}-{i}" for i in range(n)])
+    reader = MailboxReader(str(tmp_path / "box"), 2, 3)
+    at, batches = reader.initialOffset(), []
+    while (end := reader.latestOffset()) != at:
+        rows = [r for part in reader.partitions(at, end) for b in reader.read(part) for r in zip(b.column("message_id").to_pylist(), b.column("page").to_pylist())]
+        batches.append(rows)
+        at = end
+    names = [f"0-{i}" for i in range(5)] + [f"2-{i}" for i in range(9)]
+    assert batches == [[(name, n // 2) for n, name in enumerate(names[k:k + 6])] for k in (0, 6, 12)]
+    out = stream_mailbox(spark, str(tmp_path / "box"), 2, 3)
+    assert out.columns[-1] == "page" and poll_messages(out).columns == ["message_id", "raw", "page"]
+    with pytest.raises(ValueError):
+        stream_mailbox(spark, str(tmp_path / "box"), None, 3)
+
+
+def test_a_page_is_read_to_its_end_only(tmp_path, spark, monkeypatch):
+    export(spark, tmp_path / "box", 0, [str(i) for i in range(3_000)])
+    table = pq.read_table(tmp_path / "box" / "000.parquet")
+    pq.write_table(table, tmp_path / "box" / "000.parquet")  # one row group
+    seen = []
+
+    class Counted(pq.ParquetFile):
+        def iter_batches(self, *args, **options):
+            for batch in super().iter_batches(*args, **options):
+                seen.append(len(batch))
+                yield batch
+
+    monkeypatch.setattr(pq, "ParquetFile", Counted)
+    reader = MailboxReader(str(tmp_path / "box"), 100)
+    found = [i for part in reader.partitions({"file": "", "row": 0}, reader.latestOffset()) for b in reader.read(part) for i in b.column(0).to_pylist()]
+    assert found == [str(i) for i in range(100)] and sum(seen) < 1_000

@@ -66,7 +66,7 @@ def _export(spark, sf, folder):
     """The mailbox as export files in order of conversation and turn."""
     rows = inp.run(spark, sf, inp.MAILBOX)
     raw = F.translate(F.base64(F.encode(F.coalesce("text", F.lit("")), "UTF-8")), "+/\r\n", "-_")
-    box = rows.repartitionByRange(4, "conv_id", "turn").sortWithinPartitions("conv_id", "turn").select(
+    box = rows.repartitionByRange("conv_id", "turn").sortWithinPartitions("conv_id", "turn").select(
         "message_id", F.split("labels", ",").alias("label_ids"), _at("age_seconds").alias("internal_ts"), raw.alias("raw_b64")
     )
     box.write.parquet(f"{folder}/export")
@@ -74,15 +74,18 @@ def _export(spark, sf, folder):
 
 
 _PAGE = 100
+#: pages that a batch takes: a micro-batch has a cost of its own, however few its rows
+_PAGES = 1_000
 
 
 def mailbox_polls(spark, sf):
     """A mailbox export as a stream of pages: unread messages, their text, and the page each came with."""
     folder = _scratch(spark, "mailbox-polls")
-    stream = stream_mailbox(spark, _export(spark, sf, folder), _PAGE)
+    stream = stream_mailbox(spark, _export(spark, sf, folder), _PAGE, _PAGES)
 
-    def keep(page, number):
-        messages = poll_messages(page).select(F.lit(number).cast("bigint").alias("poll"), "message_id", F.md5("raw").alias("raw_md5"))
+    def keep(pages, number):
+        poll = F.lit(number).cast("bigint") * _PAGES + F.col("page")
+        messages = poll_messages(pages).select(poll.alias("poll"), "message_id", F.md5("raw").alias("raw_md5"))
         messages.write.mode("overwrite").parquet(f"{folder}/out/batch_id={number}")
 
     query = stream.writeStream.foreachBatch(keep).option("checkpointLocation", f"{folder}/checkpoint").start()
