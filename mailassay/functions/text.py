@@ -103,6 +103,11 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(f"[{WORD}]{{2,}}"), F.lit(0))
 
 
+def spaced_words(text: Column) -> Column:
+    """Lower-cased, one space for each run of other characters: ``tokens`` are its pieces of two and more."""
+    return F.regexp_replace(F.lower(text), f"[^{WORD}]+", " ")
+
+
 def with_bigrams(words: Column) -> Column:
     """The words followed by each pair of neighbours joined by a space."""
     pairs = F.zip_with(

@@ -1,7 +1,7 @@
 """Second opinion: TF-IDF on words and word pairs with logistic regression.
 
-Fitting and scoring are relational: tokens are exploded, joined to a vocabulary
-of bounded size and aggregated. Training uses Spark ML.
+Terms are counted inside the tasks (``terms``) and added up by Spark; what tasks
+are sent is a vocabulary of bounded size. Training uses Spark ML.
 """
 
 from __future__ import annotations
@@ -14,13 +14,17 @@ from dataclasses import dataclass
 from pyspark.ml.classification import LogisticRegression
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from mailassay import lexicon as lx
-from mailassay.functions.text import half_even, tokens, with_bigrams
+from mailassay.functions.text import half_even, spaced_words, tokens, with_bigrams
+from mailassay.operators.terms import count_words, feature_writer, known_term_counter, pair_counter
 from mailassay.schemas import CLASSIFIER_TERMS
 from mailassay.session import path_exists, shared_folder, stage_table
 
 MAX_TERMS = 5_000
+# words that a vocabulary's pairs are sought among, in sizes of the vocabulary
+KEPT_WORDS = 4
 
 
 @dataclass(frozen=True)
@@ -104,7 +108,11 @@ def merge_statistics(statistics: DataFrame) -> DataFrame:
 def vocabulary_of(statistics: DataFrame, max_terms: int | None = None) -> DataFrame:
     """Vocabulary ``term_id, term, df, cf, idf`` of merged statistics: a top-k, ties by term."""
     n_docs = statistics.filter(F.col("term").isNull()).agg(F.coalesce(F.sum("df"), F.lit(0))).scalar()
-    frequent = statistics.filter(F.col("term").isNotNull()).orderBy(F.desc("cf"), "term").limit(max_terms or MAX_TERMS)
+    return _most_frequent(statistics.filter(F.col("term").isNotNull()), n_docs, max_terms)
+
+
+def _most_frequent(terms: DataFrame, n_docs: Column, max_terms: int | None) -> DataFrame:
+    frequent = terms.orderBy(F.desc("cf"), "term").limit(max_terms or MAX_TERMS)
     # at most max_terms rows: one window over them numbers the terms
     number = F.row_number().over(Window.orderBy("term"))
     return frequent.select(
@@ -119,33 +127,76 @@ def vocabulary_of(statistics: DataFrame, max_terms: int | None = None) -> DataFr
 def fit_vocabulary(texts: DataFrame, doc_id: str = "doc_id", text: str = "text", max_terms: int | None = None) -> DataFrame:
     """Vocabulary ``term_id, term, df, cf, idf``: the most frequent terms, ties by term.
 
-    One aggregation by term, combined before the shuffle; the cut at
-    ``max_terms`` is a top-k, so the result is bounded whatever the corpus.
+    The texts' words are written once, see ``vocabulary_of_words``.
     """
+    words = stage_table(texts.select(spaced_words(F.col(text)).alias("words")), "vocabulary-words")
+    return vocabulary_of_words(words, max_terms)
+
+
+def vocabulary_of_words(texts: DataFrame, max_terms: int | None = None) -> DataFrame:
+    """The vocabulary of ``words``, one row per text, by counting words first.
+
+    A pair is no more frequent than either of its words. With as many words as
+    the vocabulary has terms, the last of them bounds the frequency of every
+    term of it, and only pairs of words within the bound are counted. All of
+    them are kept if they fit; if very many words are as rare as the last, all
+    terms are counted.
+    """
+    limit = max_terms or MAX_TERMS
+    schema = "df BIGINT, cf BIGINT"
+    counted = merge_statistics(texts.select("words").mapInArrow(count_words, f"term STRING, {schema}"))
+    frequent = counted.orderBy(F.desc("cf"), "term").limit(KEPT_WORDS * limit + 1).collect()
+    bound = frequent[limit - 1]["cf"] if len(frequent) >= limit else 1
     n_docs = texts.agg(F.count(F.lit(1))).scalar()
-    frequent = (
-        exploded_counts(texts, doc_id, text)
-        .groupBy("term")
-        .agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
-        .orderBy(F.desc("cf"), "term")
-        .limit(max_terms or MAX_TERMS)
+    if len(frequent) > KEPT_WORDS * limit and frequent[-1]["cf"] >= bound:
+        # the tokens of spaced words are those of their text
+        every = (
+            exploded_counts(texts.select(F.lit(0).alias("doc_id"), "words"), "doc_id", "words")
+            .groupBy("term")
+            .agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
+        )
+        return _most_frequent(every, n_docs, limit)
+    words = [r for r in frequent if r["cf"] >= bound]
+    spark = texts.sparkSession
+    named = F.broadcast(spark.createDataFrame([(i, r["term"]) for i, r in enumerate(words)], "number BIGINT, word STRING"))
+    first, second = (named.select(F.col("number").alias(f"n{k}"), F.col("word").alias(f"w{k}")) for k in (1, 2))
+    pairs = (
+        texts.select("words")
+        .mapInArrow(pair_counter([r["term"] for r in words]), f"pair BIGINT, {schema}")
+        .groupBy("pair")
+        .agg(F.sum("df").alias("df"), F.sum("cf").alias("cf"))
+        .filter(F.col("cf") >= bound)
+        .withColumns({"n1": F.expr(f"pair div {len(words)}"), "n2": F.expr(f"pair % {len(words)}")})
+        .join(first, "n1")
+        .join(second, "n2")
+        .select(F.concat_ws(" ", "w1", "w2").alias("term"), "df", "cf")
     )
-    # at most max_terms rows: one window over them numbers the terms
-    number = F.row_number().over(Window.orderBy("term"))
-    return frequent.select(
-        number.alias("term_id"),
-        "term",
-        "df",
-        "cf",
-        (F.log((1.0 + n_docs) / (1.0 + F.col("df"))) + 1.0).alias("idf"),
+    singles = spark.createDataFrame([(r["term"], r["df"], r["cf"]) for r in words], f"term STRING, {schema}")
+    return _most_frequent(singles.unionByName(pairs), n_docs, limit)
+
+
+def known_counts(texts: DataFrame, terms: list[str], doc_id: str, text: str) -> DataFrame:
+    """``doc_id, term, tf`` of ``exploded_counts``, but of the given terms only."""
+    counted = _keyed_words(texts, doc_id, text).mapInArrow(
+        known_term_counter(terms), _keyed_schema(texts, doc_id).add("term", "string").add("tf", "integer")
     )
+    return counted.withColumnRenamed("key", doc_id)
+
+
+def _keyed_words(texts: DataFrame, doc_id: str, text: str) -> DataFrame:
+    return texts.select(F.col(doc_id).alias("key"), spaced_words(F.col(text)).alias("words"))
+
+
+def _keyed_schema(texts: DataFrame, doc_id: str) -> StructType:
+    return StructType().add("key", texts.select(doc_id).schema[0].dataType)
 
 
 def tfidf(
     texts: DataFrame, vocabulary: DataFrame, doc_id: str = "doc_id", text: str = "text"
 ) -> DataFrame:
     """L2-normalised weights ``doc_id, term_id, term, weight``."""
-    return weights_of(exploded_counts(texts, doc_id, text), vocabulary, doc_id)
+    terms = sorted({r["term"] for r in vocabulary.select("term").collect()})
+    return weights_of(known_counts(texts, terms, doc_id, text), vocabulary, doc_id)
 
 
 def weights_of(counts: DataFrame, vocabulary: DataFrame, doc_id: str = "doc_id") -> DataFrame:
@@ -159,7 +210,7 @@ def weights_of(counts: DataFrame, vocabulary: DataFrame, doc_id: str = "doc_id")
     return weighted.select(doc_id, "term_id", "term", (F.col("w") / norm).alias("weight"))
 
 
-def _libsvm_rows(weights: DataFrame, texts: DataFrame) -> DataFrame:
+def libsvm_rows(weights: DataFrame, texts: DataFrame) -> DataFrame:
     """Training rows as text: ``label index:value …`` with ascending indices."""
     features = weights.groupBy("doc_id").agg(
         F.sort_array(F.collect_list(F.struct("term_id", "weight"))).alias("f")
@@ -180,13 +231,28 @@ def _libsvm_rows(weights: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def train(texts: DataFrame, max_terms: int | None = None) -> Model:
-    """Fit on ``doc_id, text, label``; see ``fit``. Texts without a label take no part."""
-    texts = texts.filter(F.col("label").isNotNull())
-    vocabulary = stage_table(fit_vocabulary(texts, max_terms=max_terms), "vocabulary")
-    return fit(texts.select("doc_id", "label"), lambda: tfidf(texts, vocabulary), vocabulary)
+    """Fit on ``doc_id, text, label``; see ``fit``. Texts without a label take no part.
+
+    Texts are cut into words and written once; each row is a training row, whose
+    weights come from that row alone. A row without an id has no weights.
+    """
+    labelled = texts.filter(F.col("label").isNotNull())
+    words = stage_table(labelled.select("doc_id", "label", spaced_words(F.col("text")).alias("words")), "training-words")
+    vocabulary = stage_table(vocabulary_of_words(words, max_terms), "vocabulary")
+    return fit(words.select("label"), lambda: _rows_of_words(words, vocabulary), vocabulary)
+
+
+def _rows_of_words(words: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """Training rows as ``libsvm_rows`` gives them, without a shuffle."""
+    known = vocabulary.select("term_id", "term", "idf").orderBy("term_id").collect()
+    own = F.when(F.col("doc_id").isNotNull(), F.col("words")).alias("words")
+    weighted = words.select(F.col("label").cast("string").alias("label"), own).mapInArrow(
+        feature_writer(*map(list, zip(*known))), "label STRING, features STRING"
+    )
+    return weighted.select(F.concat_ws(" ", "label", "features").alias("value"))
 
 
-def fit(labels: DataFrame, weights: Callable[[], DataFrame], vocabulary: DataFrame) -> Model:
+def fit(labels: DataFrame, training_rows: Callable[[], DataFrame], vocabulary: DataFrame) -> Model:
     """Logistic regression: C = 1, balanced classes, at most 1000 iterations.
 
     The sparse rows are written once, in the text format that Spark ML reads,
@@ -200,14 +266,13 @@ def fit(labels: DataFrame, weights: Callable[[], DataFrame], vocabulary: DataFra
     if size == 0 or len(classes) < 2:
         return prior_model(vocabulary, classes)
     path = f"{shared_folder(spark)}/training-rows-{uuid.uuid4().hex}"
-    _libsvm_rows(weights(), labels).write.text(path)
+    training_rows().write.text(path)
     rows = spark.read.format("libsvm").option("numFeatures", str(size)).load(path)
 
-    counts = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
-    total = sum(counts.values())
+    total = sum(classes.values())
     weight = F.lit(None).cast("double")
-    for label, n in counts.items():
-        weight = F.when(F.col("label") == label, total / (len(counts) * n)).otherwise(weight)
+    for label, n in classes.items():
+        weight = F.when(F.col("label") == label, total / (len(classes) * n)).otherwise(weight)
     # balanced weights add up to the number of rows, so C = 1 is regParam = 1 / rows
     estimator = LogisticRegression(
         weightCol="row_weight",

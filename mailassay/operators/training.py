@@ -16,6 +16,7 @@ from mailassay.operators.classifier import (
     Model,
     count_statistics,
     fit,
+    libsvm_rows,
     merge_statistics,
     term_counts,
     vocabulary_of,
@@ -55,4 +56,5 @@ def refit(spark: SparkSession, folder: str, max_terms: int | None = None) -> Mod
     rows = stage_table(rows.select(F.col("row").alias("doc_id"), "label", "counts"), "training-counts")
     exploded = rows.select("doc_id", F.explode_outer("counts").alias("t")).filter(F.col("t").isNotNull())
     counts = exploded.select("doc_id", "t.term", "t.tf")
-    return fit(rows.select("doc_id", "label"), lambda: weights_of(counts, vocabulary), vocabulary)
+    labels = rows.select("doc_id", "label")
+    return fit(labels, lambda: libsvm_rows(weights_of(counts, vocabulary), labels), vocabulary)

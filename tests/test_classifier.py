@@ -171,3 +171,89 @@ def test_refit_from_kept_counts_equals_the_full_one(spark, corpus, tmp_path):
     assert ours.keys() == theirs.keys()
     for term, coef in theirs.items():
         assert ours[term] == pytest.approx(coef, abs=1e-4)
+
+
+# --- terms counted inside the tasks
+
+ODD = [
+    "Ab ab  ab, x ab", "ab cd", "cd ab cd ab", "İstanbul ΟΔΟΣ ΟΔΟΣ straße_1 straße_1", "", "x y z", None, "été été été ab cd",
+    "aa bb aa bb aa bb", "zz yy", "a𝒜 𝒜 𝒜𝒜", "one_word", "ab" * 50 + " cd",
+]
+
+
+def odd_corpus(spark, times=1):
+    rows = [(i, t, i % 2) for i, t in enumerate(ODD * times)]
+    return spark.createDataFrame(rows, "doc_id BIGINT, text STRING, label INT")
+
+
+def all_statistics(spark, texts):
+    """Every term by the relational count."""
+    found = Counter(), Counter()
+    for r in c.exploded_counts(texts, "doc_id", "text").collect():
+        found[0][r["term"]] += 1
+        found[1][r["term"]] += r["tf"]
+    return found
+
+
+@pytest.mark.parametrize(("max_terms", "kept_words"), [(1, 1), (2, 4), (3, 1), (5, 2), (9, 1), (14, 100), (1000, 4)])
+def test_vocabulary_by_frequent_words_is_that_of_all_terms(spark, monkeypatch, kept_words, max_terms):
+    monkeypatch.setattr(c, "KEPT_WORDS", kept_words)
+    texts = odd_corpus(spark)
+    df, cf = all_statistics(spark, texts)
+    top = sorted(cf, key=lambda t: (-cf[t], t))[:max_terms]
+    found = [tuple(r) for r in c.fit_vocabulary(texts, max_terms=max_terms).orderBy("term_id").collect()]
+    assert [f[:4] for f in found] == [(i, t, df[t], cf[t]) for i, t in enumerate(sorted(top), 1)]
+    assert [f[4] for f in found] == pytest.approx([math.log((1 + len(ODD)) / (1 + df[t])) + 1 for t in sorted(top)])
+
+
+def test_known_terms_are_counted_as_all_terms_are(spark, monkeypatch):
+    from mailassay.operators import terms
+
+    monkeypatch.setattr(terms, "_PIECE_BYTES", 8)
+    texts = odd_corpus(spark, 3)
+    every = {(r["doc_id"], r["term"]): r["tf"] for r in c.exploded_counts(texts, "doc_id", "text").collect()}
+    asked = sorted({t for _, t in every})[::2] + ["no such", "ab cd ab", ""]
+    found = [tuple(r) for r in c.known_counts(texts, asked, "doc_id", "text").collect()]
+    assert sorted(found) == sorted((d, t, n) for (d, t), n in every.items() if t in asked)
+
+
+def test_steps_of_one_text_add_up(monkeypatch):
+    import pyarrow as pa
+
+    from mailassay.operators import terms
+
+    monkeypatch.setattr(terms, "_PIECE_BYTES", 4)
+    batch = pa.RecordBatch.from_pydict({"words": ["ab cd ab", None, "", "ab cd", "x", "cd"]})
+    words, pairs = Counter(), Counter()
+    for b in terms.count_words(iter([batch, batch.slice(0, 0)])):
+        words.update({r["term"]: (r["df"] * 100 + r["cf"]) for r in b.to_pylist()})
+    for b in terms.pair_counter(["ab", "cd"])(iter([batch])):
+        pairs.update({r["pair"]: (r["df"] * 100 + r["cf"]) for r in b.to_pylist()})
+    assert words == {"ab": 203, "cd": 303}
+    assert pairs == {1: 202, 2: 101}
+
+
+def test_training_takes_each_row_by_itself(spark, corpus):
+    """Rows of one id are rows of their own; a row without id has no weights."""
+    same_id = corpus.withColumn("doc_id", F.lit(7).cast("bigint"))
+    first, second = c.train(corpus), c.train(same_id)
+    terms = {r["term"]: r["coef"] for r in first.terms.collect()}
+    assert {r["term"]: r["coef"] for r in second.terms.collect()} == pytest.approx(terms, abs=1e-6)
+    nameless = spark.createDataFrame([(None, "verify verify verify", 0)] * 3, corpus.schema)
+    blank = spark.createDataFrame([(9, "", 0)] * 3, corpus.schema)
+    vocabulary = c.stage_table(c.fit_vocabulary(corpus), "vocabulary")
+    rows = [sorted(r["value"] for r in c._rows_of_words(
+        corpus.unionByName(more).select("doc_id", "label", c.spaced_words(F.col("text")).alias("words")), vocabulary
+    ).collect()) for more in (nameless, blank)]
+    assert rows[0] == rows[1]
+
+
+def test_training_cuts_texts_once_and_joins_no_terms(spark, corpus, monkeypatch):
+    """Fitting makes no row for every term of every text."""
+    def all_terms(*args):
+        raise AssertionError("all terms of all texts")
+
+    monkeypatch.setattr(c, "exploded_counts", all_terms)
+    monkeypatch.setattr(c, "term_counts", all_terms)
+    model = c.retrain(corpus, corpus.limit(2))
+    assert model.terms.count() > 0
