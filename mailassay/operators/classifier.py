@@ -18,7 +18,7 @@ from pyspark.sql.types import StructType
 
 from mailassay import lexicon as lx
 from mailassay.functions.text import half_even, spaced_words, tokens, with_bigrams
-from mailassay.operators.terms import count_words, feature_writer, known_term_counter, pair_counter
+from mailassay.operators.terms import count_words, feature_writer, known_term_counter, pair_counter, term_scorer
 from mailassay.schemas import CLASSIFIER_TERMS
 from mailassay.session import path_exists, shared_folder, stage_table
 
@@ -335,18 +335,23 @@ def load_or_train(spark: SparkSession, path: str, texts: DataFrame) -> Model:
 def predict(texts: DataFrame, model: Model, doc_id: str, text: str) -> DataFrame:
     """``doc_id, probability`` for every row, also for texts without a known term.
 
-    All terms of a text come from one row, hence from one task: the aggregation
-    combines them there, and one narrow row per text is shuffled.
+    All terms of a text come from one row, hence from one task: they are added up
+    there, and one narrow row per text is shuffled.
     """
-    known = F.broadcast(model.terms.select("term", "idf", "coef"))
+    known = (
+        model.terms.groupBy("term")
+        .agg(F.sum(F.col("idf") * F.col("coef")).alias("one"), F.sum(F.col("idf") * F.col("idf")).alias("two"))
+        .filter("term IS NOT NULL")
+        .collect()
+    )
+    scored = _keyed_words(texts, doc_id, text).mapInArrow(
+        term_scorer([r["term"] for r in known], [r["one"] for r in known], [r["two"] for r in known]),
+        _keyed_schema(texts, doc_id).add("dot", "double").add("sq", "double"),
+    )
     sums = (
-        exploded_counts(texts, doc_id, text)
-        .join(known, "term")
-        .select(doc_id, ((1.0 + F.log("tf")) * F.col("idf")).alias("w"), "coef")
+        scored.withColumnRenamed("key", doc_id)
         .groupBy(doc_id)
-        .agg(
-            F.sum(F.col("w") * F.col("coef")).alias("dot"), F.sum(F.col("w") * F.col("w")).alias("sq")
-        )
+        .agg(F.sum("dot").alias("dot"), F.sum("sq").alias("sq"))
     )
     margin = F.coalesce(F.col("dot") / F.sqrt("sq"), F.lit(0.0)) + F.lit(model.intercept)
     return (

@@ -127,6 +127,23 @@ def known_term_counter(terms: Sequence[str]) -> Callable[[Batches], Batches]:
     return count
 
 
+def term_scorer(terms: Sequence[str], idf_coef: Sequence[float], idf_idf: Sequence[float]) -> Callable[[Batches], Batches]:
+    """From ``key, words``: ``key, dot, sq`` of each row that has a given term."""
+
+    def score(batches: Batches) -> Batches:
+        find, one, two = term_finder(terms), np.array(idf_coef, dtype=float), np.array(idf_idf, dtype=float)
+        for piece in _pieces(batches):
+            rows, places, tf = find(piece["words"])
+            damped, n = 1.0 + np.log(tf), piece.num_rows
+            dot = np.bincount(rows, damped * one[places], minlength=n)
+            sq = np.bincount(rows, damped * damped * two[places], minlength=n)
+            has = np.flatnonzero(np.bincount(rows, minlength=n))
+            columns = [piece["key"].take(pa.array(has)), pa.array(dot[has]), pa.array(sq[has])]
+            yield pa.RecordBatch.from_arrays(columns, names=["key", "dot", "sq"])
+
+    return score
+
+
 def feature_writer(term_ids: Sequence[int], terms: Sequence[str], idf: Sequence[float]) -> Callable[[Batches], Batches]:
     """From ``label, words``: ``label, features``, the L2-normalised weights as ``index:value …`` by ascending index."""
 

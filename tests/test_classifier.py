@@ -249,11 +249,25 @@ def test_training_takes_each_row_by_itself(spark, corpus):
 
 
 def test_training_cuts_texts_once_and_joins_no_terms(spark, corpus, monkeypatch):
-    """Fitting makes no row for every term of every text."""
+    """Neither fitting nor scoring makes a row for every term of every text."""
     def all_terms(*args):
         raise AssertionError("all terms of all texts")
 
     monkeypatch.setattr(c, "exploded_counts", all_terms)
     monkeypatch.setattr(c, "term_counts", all_terms)
     model = c.retrain(corpus, corpus.limit(2))
-    assert model.terms.count() > 0
+    assert c.predict(corpus, model, "doc_id", "text").count() == len(TEXTS)
+
+
+def test_scores_of_repeated_ids_and_terms_add_up(spark):
+    texts = spark.createDataFrame([(1, "ab cd"), (1, "ab cd"), (2, None), (None, "ab")], "doc_id BIGINT, text STRING")
+    terms = spark.createDataFrame([(1, "ab", 1.0, 2.0), (2, "ab cd", 2.0, -1.0)], "term_id INT, term STRING, idf DOUBLE, coef DOUBLE")
+    found = [(r[0], r[1]) for r in c.predict(texts, c.Model(terms, 0.5), "doc_id", "text").collect()]
+
+    def logistic(z):
+        return pytest.approx(1 / (1 + math.exp(-z)))
+
+    twice = logistic(2 * (2.0 - 2.0) / math.sqrt(10) + 0.5)
+    assert sorted(found, key=str) == [(1, twice), (1, twice), (2, logistic(0.5)), (None, logistic(0.5))]
+    empty = c.predict(texts, c.Model(terms.limit(0), 0.5), "doc_id", "text").collect()
+    assert [r[1] for r in empty] == [logistic(0.5)] * 4
